@@ -6,15 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import media
+from tessera.llm import bpe, media, secrets
 from tessera.llm.common import read
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(read(spark, sf_dir, "documents"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.token_digest(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op4_bpe": op4_bpe,
     "op10_media": op10_media,
 }
 
