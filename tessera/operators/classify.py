@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.pixels import let
 from tessera.ship import ship
 
 SIDE = 224
@@ -18,8 +19,9 @@ MEANS, SCALE = (104.0, 117.0, 123.0), 0.01
 
 def softmax(logits: Column) -> Column:
     """Percentages of an array of logits; the largest is taken off first, so nothing overflows."""
-    exps = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda a, x: a + x) * 100)
+    exps = lambda best: F.transform(logits, lambda x: F.exp(x - best))
+    share = lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda v: v / total * 100))
+    return let(F.array_max(logits), lambda best: let(exps(best), share))
 
 
 def top_class(logits: Column) -> Column:

@@ -69,3 +69,11 @@ def crop_and_scale(pixels: DataFrame, width: int, height: int, scale: int, key:
         step = min(8, factor)
         cut, factor = downscale(cut, step, key), factor // step
     return cut
+
+
+def mcu_geometry(width: Column, height: Column, h: Column, v: Column) -> dict[str, Column]:
+    """Sizes in blocks, those rounded up to whole units of luma sampling h x v, and the padding of a bitmap row."""
+    blocks = lambda n: F.floor((n + 7) / 8).cast("int")
+    whole = lambda n, s: n + F.when(s == 2, n % 2).otherwise(0)
+    w, d = blocks(width), blocks(height)
+    return {"mcu_w": w, "mcu_h": d, "mcu_w_real": whole(w, h), "mcu_h_real": whole(d, v), "bmp_padding": width % 4}

@@ -95,6 +95,25 @@ def np_psnr(a: np.ndarray, b: np.ndarray) -> float:
     return float("inf") if mse == 0 else 10 * float(np.log10(65025 / mse))
 
 
+def ssim_block(a: Column, b: Column) -> Column:
+    """Mean similarity of two 8 x 8 blocks over the four places of the 7 x 7 window; sums are integers up to the last division."""
+    z = F.arrays_zip(a.alias("a"), b.alias("b"), F.sequence(F.lit(0), F.lit(63)).alias("k"))
+
+    def at(oy: int, ox: int) -> Column:
+        row, col = (lambda p: F.shiftright(p.k, 3)), (lambda p: p.k % 8)
+        inside = F.filter(z, lambda p: row(p).between(oy, oy + 6) & col(p).between(ox, ox + 6))
+        total = lambda f: F.aggregate(inside, F.lit(0).cast("long"), lambda s, p: s + f(p)).cast("double")
+        n = 49.0
+        sa, sb = total(lambda p: p.a), total(lambda p: p.b)
+        va = (total(lambda p: p.a * p.a) - sa * sa / n) / (n - 1)
+        vb = (total(lambda p: p.b * p.b) - sb * sb / n) / (n - 1)
+        cov = (total(lambda p: p.a * p.b) - sa * sb / n) / (n - 1)
+        ma, mb = sa / n, sb / n
+        return ((2 * ma * mb + C1) * (2 * cov + C2)) / ((ma * ma + mb * mb + C1) * (va + vb + C2))
+
+    return (at(0, 0) + at(0, 1) + at(1, 0) + at(1, 1)) / 4
+
+
 SCORES = "key string, ssim_r double, ssim_g double, ssim_b double, ssim double, psnr_r double, psnr_g double, psnr_b double, psnr double, reason string"
 
 

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessera.plans import image_queries, report_queries
+
+QUERIES: dict = image_queries.QUERIES | report_queries.QUERIES
+ORACLE_SQL: dict[str, str] = image_queries.ORACLE_SQL | report_queries.ORACLE_SQL

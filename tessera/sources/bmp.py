@@ -29,6 +29,11 @@ def sizes(width: Column, height: Column) -> dict[str, Column]:
     return {"padding": padding, "image_bytes": image, "file_bytes": image + HEAD, "legacy_bytes": width * height * 3 + HEAD}
 
 
+def offset(x: Column, y: Column, width: Column, height: Column) -> Column:
+    """Where a pixel's blue byte lies in the file; rows are stored from the bottom."""
+    return (height - 1 - y) * (width * 3 + width % 4) + x * 3 + HEAD
+
+
 def encode(rgb: np.ndarray, legacy_size: bool = False) -> bytes:
     """legacy_size: sizes without padding and a body cut to them, as old files have."""
     h, w = rgb.shape[:2]
