@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
+
 LEVELS = ("domain", "lang", "source")
 #: Fixed weights of the query: by level and name; names not listed weigh 10.
 WEIGHTS: dict[str, dict[str, int]] = {"domain": {"dom0": 40, "dom1": 30, "dom2": 20, "dom3": 10}, "lang": {"en": 50, "de": 20, "fr": 20, "es": 10}, "source": {"src0": 5}}
@@ -113,7 +115,8 @@ def with_levels(df: DataFrame, text: str = "text") -> DataFrame:
 def mix_documents(df: DataFrame) -> DataFrame:
     """doc_id, domain, lang, source, tokens and epoch of the mix drawn from documents."""
     rows = with_levels(df.select("doc_id", "lang", "source", "text")).select("doc_id", *LEVELS, "tokens")
-    return chosen(rows).select("doc_id", *LEVELS, "tokens", "epoch")
+    # Words are counted once: leaves, buckets and documents all read the written table.
+    return chosen(materialize(rows, "mix-rows")).select("doc_id", *LEVELS, "tokens", "epoch")
 
 
 def mix(df: DataFrame, **options) -> DataFrame:
