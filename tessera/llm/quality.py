@@ -1,17 +1,15 @@
 """Quality rules: counts within each document, and line frequency across documents.
 
 Across documents, lines are normalised (lower case, white space run to one
-space) and hashed. For each host the documents that have a line are counted,
-copies once: documents count by a sketch, the smallest hash among their other
-lines, so exact copies and most near copies are one. A line in more documents
-than ``max(least_docs, share * documents of the host)`` is boilerplate. A
-document is depleted, and rejected, if boilerplate lines hold more than
+space) and hashed. For each host the distinct documents that have a line are
+counted, and those of the host in the same way: equal texts are one document,
+near copies are several. A line in more documents than ``max(least_docs, share *
+documents of the host)`` is boilerplate. A document is depleted, and rejected, if boilerplate lines hold more than
 ``depleted`` of its words.
 
 Nulls: a null text has no words and fails the base rules; a null host is the
-host with the empty name. A document of one line has an empty sketch, so all
-such copies of the line count once. Repeated rows get the same verdict and ties
-need no rule. An empty table gives an empty result. Columns other than the named
+host with the empty name. Repeated rows get the same verdict and ties need no
+rule. An empty table gives an empty result. Columns other than the named
 ones are not read, or kept where the whole document is returned.
 """
 
@@ -116,13 +114,9 @@ def document_stats(df: DataFrame, text: str = "text", host: str = "source", doc_
 def verdicts(df: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", least_docs: int = LEAST_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
     """The counts of each document with ``removed`` (its boilerplate lines' hashes), ``removed_words`` and ``kept``."""
     stats = materialize(document_stats(df, text, host, doc_id).withColumn("row", F.monotonically_increasing_id()), "document-stats")
-    low = F.array_sort("lines")
-    lines = (
-        stats.select("row", "host", low[0].alias("a"), F.get(low, F.lit(1)).alias("b"), F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
-        .select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"), F.when(F.col("a") == F.col("x.lines"), F.col("b")).otherwise(F.col("a")).alias("sketch"))
-    )
-    seen = lines.select("host", "line", "sketch").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > least_docs)
-    size = stats.groupBy("host").agg(F.count("*").alias("docs"))
+    lines = stats.select("row", "host", "tkey", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", "tkey", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    seen = lines.select("host", "line", "tkey").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > least_docs)
+    size = stats.select("host", "tkey").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     common = seen.join(size, "host").filter(F.col("n") > share * F.col("docs")).select("host", "line")
     removed = lines.join(common, ["host", "line"]).groupBy("row").agg(F.collect_set("line").alias("removed"), F.sum("words").alias("removed_words"))
     out = stats.drop("lines", "line_words").join(removed, "row", "left").drop("row")

@@ -55,3 +55,14 @@ def test_boilerplate(spark):
 def test_repeated_rows(spark):
     rows = [(1, "a b c " * 2 + " ".join(map(str, range(30))), "s")] * 3
     assert q.quality_digest(frame(spark, rows)).count() == 3 and q.keep_good(frame(spark, rows)).count() == 3
+
+
+def test_template_of_several_lines(spark):
+    """Documents that share a template are different documents for each of its lines, copies of them aren't."""
+    template = "\n".join(f"template line number {k} of the site" for k in range(10))
+    own = lambda k: f"page {k} " + " ".join(f"p{k}x{i}" for i in range(100))
+    rows = [(k, f"{template}\n{own(k)}", "h") for k in range(100)] + [(200 + k, f"{own('copy')}\nline of the copies", "g") for k in range(100)]
+    rows += [(400 + k, "one single line that stands in documents of one line only " * 2, "g") for k in range(30)]
+    got = {r.doc_id: r for r in q.quality_digest(frame(spark, rows)).collect()}
+    assert all(got[k].removed_words == 70 and got[k].kept for k in range(100))
+    assert all(r.removed_words == 0 for k, r in got.items() if k >= 200)
