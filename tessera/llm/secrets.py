@@ -6,7 +6,10 @@ Source and configuration syntax is lexed into pairs of a name and a literal
 literal, and a sum of literals and such names, stand for the literals they are
 made of. Each pair is scored by how sensitive its name is and by how much its
 literal looks like a secret; literals of pairs above the threshold are spans of
-kind ``pair``. Three base patterns are always reported as well.
+kind ``pair``, and so are blocks of private keys wherever they stand. A type
+between a name and its literal (``name: str = "literal"``) is passed over. A quoted
+phrase counts where the name's last word says that it is the secret itself and
+the phrase doesn't speak of such a thing. Three base patterns are always reported as well.
 
 Nulls and empty texts have no spans. Rows are independent, so ties and repeated
 rows need no rule. Positions are code points, ends exclusive. Other columns are
@@ -39,6 +42,8 @@ _KEYWORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A run of 24 or more is the whole run of [0-9a-f]+ that passes the length rule.
 _HEX = re.compile(r"[0-9a-f]{24,}")
+_BLOCK_START = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_BLOCK = re.compile(_BLOCK_START + r"(?:(?!-----)(?s:.))*+(?:-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)?")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -69,6 +74,9 @@ _LEX = re.compile(
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>#]+""")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*")
 _SPACE = re.compile(r"[ \t]*")
+_TYPE = r"[&*]{0,2}(?:'\w+ )?(?:mut )?[A-Za-z_][\w.]*(?:::\w+)*(?:\[[^\]\n=]{0,80}\]+|<[^>\n=]{0,80}>+)?[?!]?(?:\[\])?"
+#: After a ':', a type and the '=' that gives the literal.
+_TYPED = re.compile(rf"""[ \t]*{_TYPE}(?:[ \t]*\|[ \t]*{_TYPE}){{0,8}}(?:[ \t]*=(?=[ \t]*[rbfuRBFU]{{0,2}}["'`])|[ \t]+=(?=[ \t]+[^\s=]))""")
 
 
 @dataclass(frozen=True)
@@ -144,6 +152,8 @@ def pairs(text: str) -> list[Pair]:
             name = ""
         elif m["assign"] and name:
             target, name = name, ""
+            if m["assign"] == ":" and (typed := _TYPED.match(text, at)):
+                at = typed.end()
             found = operand(at)
             if not found:
                 continue
@@ -171,6 +181,7 @@ _SENSITIVE = {
 _KEY_KINDS = {"api", "access", "private", "secret", "encryption", "signing", "master", "client", "auth", "service", "account", "storage", "session"}
 _HARMLESS = {"name", "url", "uri", "path", "file", "type", "count", "length", "len", "size", "limit", "id", "field", "label", "hint", "regex", "policy", "expiry", "expires", "ttl"}
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+_SPEAKS = re.compile(r"(?i)pass ?(?:word|wd|phrase|code)|secret|token|credential|\bkeys?\b|\bmust\b|\bplease\b|\binvalid\b")
 _HOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|<.*>|\$\{.*|\{\{.*|%\w+%|(?:your|my|insert|enter|change|replace|example|sample|dummy|fake|test|todo|none|null|nil|true|false|undefined|redacted|placeholder)\b.*|changeme|os\.environ.*|process\.env.*)$")
 
 
@@ -183,14 +194,24 @@ def name_score(name: str) -> float:
     return best * 0.3 if words and words[-1] in _HARMLESS else best
 
 
+def names_phrase(name: str) -> bool:
+    """Whether the name's last word says that the value itself is secret."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return bool(words) and (_SENSITIVE.get(words[-1], 0.0) >= 0.9 or words[-1] in ("pass", "key", "keys", "phrase"))
+
+
 def entropy(value: str) -> float:
     n = len(value)
     return -sum(c / n * log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def literal_score(value: str, quoted: bool) -> float:
-    """0 to 1: how much the literal looks like a key or a password."""
-    if len(value) < 6 or len(value) > 4096 or _HOLDERS.match(value) or any(c.isspace() for c in value):
+def literal_score(value: str, quoted: bool, phrase: bool = False) -> float:
+    """0 to 1: how much the literal looks like a key or a password, or a pass phrase where the name allows one."""
+    if re.search(_BLOCK_START, value):
+        return 1.0
+    if len(value) < 6 or _HOLDERS.match(value):
+        return 0.0
+    if any(c.isspace() for c in value) and not (phrase and quoted and not _SPEAKS.search(value)):
         return 0.0
     sorts = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
     if sorts == 1 and not quoted:
@@ -202,7 +223,7 @@ def score(name: str, value: str, quoted: bool) -> float:
     of_name = name_score(name)
     if of_name < 0.5:
         return 0.0
-    of_literal = literal_score(value, quoted)
+    of_literal = literal_score(value, quoted, names_phrase(name))
     return 0.5 * of_name + 0.5 * of_literal if of_literal else 0.0
 
 
@@ -210,6 +231,8 @@ def spans(text: str, threshold: float = THRESHOLD) -> tuple[list[Span], list[Spa
     """(base spans, all spans): literals inside a base span of an assignment aren't told twice."""
     base = base_spans(text)
     more = {(p.start, 3, p.end) for pair in pairs(text) if pair.score >= threshold for p in pair.pieces if p.end > p.start}
+    if "-----BEGIN " in text:
+        more |= {(m.start(), 3, m.end()) for m in _BLOCK.finditer(text)}
     covered = [(a, b) for a, k, b in base if k == 0]
     extra, at = [], 0
     for a, k, b in sorted(more):

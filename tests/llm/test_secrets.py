@@ -59,3 +59,42 @@ def test_frames(spark):
     assert s.secret_digest(df.limit(0)).count() == 0
     assert s.scan(df).filter("size(secrets) > 0").count() >= 5
     assert s.redact(df).filter("text is null").count() == 1
+
+
+PEM = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\nMIIEowIBAAKCAQEA\nq83Jx/0=\n-----END RSA PRIVATE KEY-----"
+
+
+def test_long_literals():
+    long = "aB3dE5gH7jK9" * 1000
+    assert literals(f'private_key = "{long}"') == [long]
+    assert literals(f'private_key = "{long}" + "{long}"') == [long, long]
+
+
+def test_private_key_blocks():
+    assert literals(f'private_key = """{PEM}"""') == [PEM]
+    assert literals(f"data: |\n{PEM}\nend") == [PEM]
+    assert literals(f"cert = '''{PEM}'''") == [PEM]
+    assert literals("-----BEGIN CERTIFICATE-----\nMIIE\n-----END CERTIFICATE-----") == []
+    assert s.spans("-----BEGIN PRIVATE KEY-----" * 20000)[1]
+
+
+def test_phrases():
+    phrase = "correct horse battery staple"
+    text = f'password = "{phrase}"'
+    assert s.redacted(text, s.spans(text)[1]) == '[SECRET]"'
+    assert literals(f'db_passphrase = "{phrase}"') == [phrase]
+    for text in ('password_label = "the words to log in"', 'password: "Please enter your password"', 'passphrase_hint = "name of the first dog"', "auth: nothing to see here"):
+        assert literals(text) == [], text
+
+
+@pytest.mark.parametrize("text", [
+    'private_key: str = "zQ9x7Lm2Pw4T"', 'const signingKey: string = "zQ9x7Lm2Pw4T";', 'let private_key: String = "zQ9x7Lm2Pw4T"', "db_pwd: Optional[str] = 'zQ9x7Lm2Pw4T'",
+    'static DB_PWD: &\'static str = "zQ9x7Lm2Pw4T";', 'let dbPwd: string | undefined = "zQ9x7Lm2Pw4T"', 'k: str = "zQ9x7Lm2Pw4T"\ndb_pwd: str = k',
+])
+def test_typed(text):
+    assert literals(text) == ["zQ9x7Lm2Pw4T"]
+
+
+def test_values_with_equal_signs():
+    assert literals("credentials: zQ9x7Lm2Pw4T==") == ["zQ9x7Lm2Pw4T=="]
+    assert literals("credentials: zQ9x7Lm2=Pw4T") == ["zQ9x7Lm2=Pw4T"]
