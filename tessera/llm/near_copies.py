@@ -1,14 +1,17 @@
-"""Near copies by SimHash of whole texts and of their pieces, verified by shingle similarity.
-
-A text of a thousand words with twenty changed differs in ten bits or more of its
-fingerprint, which no pigeonhole split finds among many texts. Pieces of a dozen
-words, cut where the content says so, mostly stay whole. So each text gives its
-own fingerprint and those of its ``PIECES`` pieces of least hash, which copies
-choose alike; fingerprints are linked by the general pigeonhole principle, and
-each text is held against the least text of each of its classes: first by the
-distance of the whole fingerprints, then by the exact Jaccard similarity of word
-shingles. Texts are compared with ``PIECES + 1`` others at most, so the work
-follows the input also where a passage is in every text.
+"""Near copies by prefix filtering over word shingles, verified by their exact Jaccard similarity.
+
+All shingles have one order, rare ones first. Of two texts with a similarity of
+at least t, each has one of the n - ceil(t n) + 1 first of its n shingles in
+common with the other's, so texts that share none of these are not near copies:
+the candidates are whole. How rare a shingle is comes from a sketch of counts;
+the sketch only orders, so its errors cost time and lose nothing.
+
+Texts of one shingle meet in rounds. In each, some of them are hubs, those whose
+shingles are common first, and are held against all others that are not yet
+linked to them; then they leave the list. A short list has only hubs, a long one
+four times as many in each round as in the one before. So a large group with its
+original is settled at once, and the rounds end when no unlinked pair is untried:
+a large group whose members share rare shingles but aren't similar is paired off.
 
 Nulls: a null text counts as empty. Empty texts are copies of each other. Ties:
 equal texts are one from the start. An empty table gives an empty result. All
@@ -17,35 +20,25 @@ columns are kept, also those with names of the result's.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import column, map_batches, materialize, ship, texts_of
 from tessera.llm.components import components
-from tessera.llm.simhash import SEED, fingerprint, links, signed
+from tessera.llm.simhash import SEED, signed
 
 WIDTH = 5
 SIMILARITY = 0.8
-PIECES = 8
-#: Words of a piece: at least, at most, and one place in so many cuts.
-SHORT, LONG, ONE_IN = 8, 64, 12
-#: Texts of similarity 0.8 are 10 bits apart on average and hardly ever more than this.
-APART = 22
-
-
-def pieces(text: str) -> list[int]:
-    """Fingerprints of the pieces with the least hashes."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    cuts = [0]
-    for i in range(1, len(words)):
-        n = i - cuts[-1]
-        if n >= LONG or n >= SHORT and not xxhash.xxh64_intdigest(words[i - 1] + b" " + words[i], SEED) % ONE_IN:
-            cuts.append(i)
-    found = {xxhash.xxh64_intdigest(b" ".join(words[a:b]), SEED): (a, b) for a, b in zip(cuts, [*cuts[1:], len(words)]) if b > a}
-    least = sorted(found)[:PIECES]
-    return [signed(fingerprint(b" ".join(words[slice(*found[h])]).decode("utf-8", "replace"), WIDTH)) for h in least]
+#: Cells of the sketch, and of a part of it.
+CELLS, PART = 1 << 20, 1 << 14
+#: Lists up to this are paired off at once.
+FEW = 12
 
 
 def shingles(text: str, width: int = WIDTH) -> set[bytes]:
@@ -59,38 +52,98 @@ def similar(a: str, b: str, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
-def text_classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, tkey (hash of the text) and root (the class) of every row."""
-    ship(df.sparkSession)
+def shingle_hashes(text: str) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text)], np.uint64)
+
+
+def sketch(texts: DataFrame) -> np.ndarray:
+    """About how many texts hold the shingles of each cell, at least 1."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = texts_of(batch, "text")
-        keys = [signed(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), SEED)) for t in texts]
-        whole = [signed(fingerprint(t, WIDTH)) for t in texts]
-        parts = [pieces(t) for t in texts]
-        arrays = [column(batch, "doc_id"), pa.array(keys, pa.int64()), pa.array(whole, pa.int64()), pa.array(parts, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "tkey", "fp", "pieces"])
-
-    read = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = materialize(map_batches(read, run, "doc_id long, tkey long, fp long, pieces array<long>"), "pieces")
-    texts = rows.groupBy("tkey").agg(F.first("fp").alias("whole"), F.first("pieces").alias("pieces"))
-    each = materialize(texts.select("tkey", "whole", F.explode(F.array_distinct(F.concat(F.array("whole"), "pieces"))).alias("fp")), "piece-rows")
-    linked = components(links(materialize(each.select("fp").distinct(), "piece-prints"), 2)).withColumnRenamed("node", "fp").withColumnRenamed("root", "class")
-    classed = each.join(linked, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
-    hubs = classed.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("tkey", "whole")).alias("hub")).filter("n > 1").drop("n")
-    near = F.bit_count(F.col("whole").bitwiseXOR(F.col("hub.whole"))) <= APART
-    pairs = materialize(classed.join(hubs, "class").filter((F.col("tkey") != F.col("hub.tkey")) & near).select(F.col("tkey").alias("a"), F.col("hub.tkey").alias("b")).distinct(), "pairs")
-    held = read.withColumn("k", F.xxhash64("text")).select("k", "text").join(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
-    held = materialize(held, "held-texts")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for t in texts_of(batch, "text"):
+                np.add.at(cells, (shingle_hashes(t) % CELLS).astype(np.int64), 1)
+        parts = [cells[k : k + PART].tobytes() for k in range(0, CELLS, PART)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "cells"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table["cells"].to_pylist())
+        return pa.table({"part": table["part"][:1], "cells": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+
+    held = texts.mapInArrow(count, "part int, cells binary").groupBy("part").applyInArrow(add, "part int, cells binary").collect()
+    out = np.zeros(CELLS, np.int32)
+    for part, cells in held:
+        out[part * PART : (part + 1) * PART] = np.frombuffer(cells, np.int32)
+    return np.maximum(out, 1)
+
+
+def first_shingles(text: str, counts: np.ndarray, least: float) -> tuple[list[int], int, float]:
+    """The shingles that a near copy can't all miss, the number of all, and how rare they are on average."""
+    hashes = shingle_hashes(text)
+    seen = counts[hashes % CELLS]
+    n = len(hashes)
+    first = np.lexsort((hashes, seen))[: n - ceil(least * n - 1e-9) + 1]
+    return hashes[first].view(np.int64).tolist(), n, -float(np.log(seen).mean())
+
+
+def linked(posts: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """node and root of the components of all similar pairs in lists; posts: token, id, n (shingles), rare; held: k, text."""
+    spark = posts.sparkSession
 
     @F.arrow_udf("boolean")
     def same(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([similar(s, t, similarity) for s, t in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
 
-    compared = pairs.join(held.select(F.col("k").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("k").alias("b"), F.col("text").alias("y")), "b")
-    verified = materialize(compared.withColumn("same", same("x", "y")).filter("same").select("a", "b"), "verified")
-    roots = components(verified).withColumnRenamed("node", "tkey")
-    return rows.select("doc_id", "tkey").join(roots, "tkey", "left").withColumn("root", F.coalesce("root", "tkey"))
+    found = tried = spark.createDataFrame([], "a long, b long")
+    roots = spark.createDataFrame([], "node long, root long")
+    hubs_of = 1
+    while True:
+        rooted = posts.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        # Lists within one component are settled.
+        open_ = rooted.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token", "size")
+        now = materialize(rooted.join(open_, "token"), "open-lists")
+        if now.isEmpty():
+            return roots
+        share = F.when(F.col("size") <= FEW, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(hubs_of)))
+        hubs = materialize(now.groupBy("token", share.alias("share")).agg(F.min(F.struct("rare", "id", "n", "root")).alias("hub")).select("token", "hub"), "hubs")
+        sizes = (F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n") - 1e-6) & (F.col("root") != F.col("hub.root"))
+        met = now.join(hubs, "token").filter(sizes).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        pairs = materialize(met.join(tried, ["a", "b"], "left_anti"), "pairs")
+        compared = pairs.join(held.select(F.col("k").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("k").alias("b"), F.col("text").alias("y")), "b")
+        more = materialize(compared.withColumn("same", same("x", "y")).filter("same").select("a", "b"), "verified")
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            roots = components(found)
+        tried = tried.unionByName(pairs)
+        posts = materialize(now.join(hubs.select("token", F.col("hub.id").alias("id")), ["token", "id"], "left_anti").select("token", "id", "n", "rare"), "posts")
+        hubs_of *= 4
+
+
+def text_classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, tkey (hash of the text) and root (the class) of every row."""
+    ship(df.sparkSession)
+    read = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
+    counts = df.sparkSession.sparkContext.broadcast(sketch(read.select("text")))
+
+    def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [first_shingles(t, counts.value, similarity)[0] for t in texts_of(batch, "text")]
+        return pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(rows, pa.list_(pa.int64()))], ["id", "tokens"])
+
+    def sizes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [first_shingles(t, counts.value, similarity)[1:] for t in texts_of(batch, "text")]
+        return pa.RecordBatch.from_arrays([column(batch, "k"), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float32())], ["id", "n", "rare"])
+
+    each = map_batches(read.select(F.col("tkey").alias("id"), "text"), tokens, "id long, tokens array<long>").select(F.explode("tokens").alias("token"), "id")
+    # Most shingles are in one text; one shuffle and a sort by shingle tell which aren't.
+    order = Window.partitionBy("token").orderBy("id")
+    beside = each.select("token", "id", F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("after"))
+    shared = materialize(beside.filter("before != id or before is null and after is not null").select("token", "id"), "shared-shingles")
+    ids = shared.select(F.col("id").alias("k")).distinct()
+    held = materialize(read.select(F.col("tkey").alias("k"), "text").join(ids, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text")), "held-texts")
+    posts = materialize(shared.join(map_batches(held, sizes, "id long, n int, rare float"), "id"), "posts")
+    roots = linked(posts, held, similarity).withColumnRenamed("node", "tkey")
+    return read.select("doc_id", "tkey").join(roots, "tkey", "left").withColumn("root", F.coalesce("root", "tkey"))
 
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:

@@ -35,3 +35,18 @@ def test_keeps_one_of_each_group(spark):
     assert len(got) - len(firsts) <= 0.02 * len(rows)
     assert sorted(str(r.doc_id) for r in kept.collect() if r.doc_id is None or r.doc_id >= 9000) == ["9000", "9002", "None"]
     assert n.keep_one(df.limit(0)).count() == 0
+
+
+def kept_ids(spark, texts):
+    return sorted(r.doc_id for r in n.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+
+
+def test_copies_similar_only_to_the_original(spark):
+    rnd = random.Random(4)
+    for words, edits, copies in ((300, 6, 50), (1000, 20, 50)):
+        base = [f"v{rnd.randrange(5000)}" for _ in range(words)]
+        texts = [" ".join(base)] + [edited(rnd, base, edits) for _ in range(copies)]
+        texts = [t for t in texts if n.similar(texts[0], t, 0.8)]
+        assert sum(n.similar(a, b, 0.8) for a in texts[1:] for b in texts[1:] if a < b) < len(texts) ** 2 / 8
+        rnd.shuffle(texts)
+        assert kept_ids(spark, texts) == [0]
