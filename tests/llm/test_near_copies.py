@@ -50,3 +50,29 @@ def test_copies_similar_only_to_the_original(spark):
         assert sum(n.similar(a, b, 0.8) for a in texts[1:] for b in texts[1:] if a < b) < len(texts) ** 2 / 8
         rnd.shuffle(texts)
         assert kept_ids(spark, texts) == [0]
+
+
+def test_as_all_pairs(spark):
+    """Short texts, texts that repeat lines, chains and groups without an original, against brute force."""
+    rnd = random.Random(9)
+    texts = []
+    for k in range(60):
+        base = [f"s{rnd.randrange(900)}" for _ in range(rnd.choice([3, 20, 25, 30, 40]))]
+        texts += [" ".join(base), " ".join([*base, f"end{k}"]), " ".join([f"other{k}", *base[1:]])]
+    line = "the same line again and again of it"
+    texts += ["\n".join([line] * 30 + ["one two three four five six"]), "\n".join([line] * 2 + ["one two three four five six"])]
+    base = [f"g{rnd.randrange(5000)}" for _ in range(300)]
+    texts += [edited(rnd, base, 5) for _ in range(30)]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if n.similar(a, texts[j], 0.8):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    assert kept_ids(spark, texts) == [i for i in range(len(texts)) if root[i] == i]
