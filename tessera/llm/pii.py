@@ -3,12 +3,13 @@
 Base kinds (e-mail, IP, card, phone) are found by patterns. The method then asks
 which other terms disclose such an entity: over the corpus, a term discloses an
 entity by the pointwise mutual information of the two, as a share of the
-entity's information content, log(N / n_e). Terms are words near a span of the
-entity; they count once per distinct context, so copies don't weigh more. The
-documents that hold a term are counted over the whole corpus. Terms with at
-least ``support`` contexts of the entity and a share of at least
-``generalise`` are spans of kind ``term`` (``sanitised`` puts a general word for
-them, or nothing from ``remove`` on).
+entity's information content, log(N / n_e). Terms are the words of the texts that
+hold the entity, however far from it, without those inside base spans; all
+numbers count distinct texts, so copies change nothing. Terms with at least
+``support`` distinct contexts of the entity (the ``WINDOW`` code points on both
+sides of it, by which near copies are one) and a share of at least ``generalise``
+are spans of kind ``term`` wherever they stand in a text that holds the entity
+(``sanitised`` puts a general word for them, or nothing from ``remove`` on).
 
 Patterns are written so that no long text makes them slow or deep: quantifiers
 are possessive, and a match may begin only where a run begins or the match
@@ -38,7 +39,7 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 _HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{2}|[0-9][ -][0-9]", "phone": r"\+[0-9]"}
-_TERM = r"[\p{L}]{4,}"
+_TERM = r"\p{L}[\p{L}\p{M}]*+"
 WINDOW = 48
 SUPPORT = 3
 GENERALISE = 0.6
@@ -112,64 +113,68 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _contexts(text: str) -> Column:
-    """One struct per span: entity, and the text on both sides with the place where it begins."""
+    """One struct per span: entity, and a hash of the text on both sides."""
 
     def of(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(
             F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("entity"),
-            F.greatest(F.lit(0), s["start"] - WINDOW).alias("at"),
-            F.substring(F.col(text), F.greatest(F.lit(0), s["start"] - WINDOW) + 1, F.least(F.lit(WINDOW), s["start"])).alias("before"),
-            s["end"].alias("end"),
-            F.substring(F.col(text), s["end"] + 1, F.lit(WINDOW)).alias("after"),
+            F.xxhash64(
+                F.lower(F.substring(F.col(text), F.greatest(F.lit(0), s["start"] - WINDOW) + 1, F.least(F.lit(WINDOW), s["start"]))),
+                F.lower(F.substring(F.col(text), s["end"] + 1, F.lit(WINDOW))),
+            ).alias("context"),
         ))
 
     return F.concat(*map(of, PATTERNS))
 
 
 def scanned(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A written table: doc_id, tkey (hash of the text), row, the base spans and their contexts."""
+    """A written table: doc_id, tkey (hash of the text), the base spans and their contexts, and the texts that have any."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("tkey", F.xxhash64("_text"))
     found = base_spans(rows, "_text").withColumn("contexts", _contexts("_text"))
-    return materialize(found.drop("_text").withColumn("row", F.monotonically_increasing_id()), "pii")
+    return materialize(found.withColumn("_text", F.when(F.size("contexts") > 0, F.col("_text"))), "pii")
 
 
-def near_terms(scans: DataFrame) -> DataFrame:
-    """row, entity, context, term and its place, of the whole words beside each span."""
-    each = scans.filter("size(contexts) > 0").select("row", F.explode("contexts").alias("c")).withColumn("context", F.xxhash64(F.lower("c.before"), F.lower("c.after")))
-    sides = each.select(
-        "row", "c.entity", "context",
-        F.explode(F.array(
-            F.struct(F.col("c.at").alias("at"), F.col("c.before").alias("side"), (F.col("c.at") > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-            F.struct(F.col("c.end").alias("at"), F.col("c.after").alias("side"), F.lit(False).alias("cut_left"), (F.length("c.after") == WINDOW).alias("cut_right")),
-        )).alias("s"),
-    ).select("row", "entity", "context", "s.*")
-    found = with_matches(sides, "side", {"word": _TERM}).select("row", "entity", "context", "at", F.length("side").alias("n"), "cut_left", "cut_right", F.explode("word").alias("w"))
-    whole = ~(F.col("cut_left") & (F.col("w.start") == 0)) & ~(F.col("cut_right") & (F.col("w.end") == F.col("n")))
-    return found.filter(whole).select("row", "entity", "context", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
+def entities(scans: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """A written table: tkey and entity of each text with an entity of enough contexts, one context for the text, and n_e."""
+    own = scans.filter("size(contexts) > 0").select("tkey", F.explode("contexts").alias("c")).groupBy("tkey", "c.entity").agg(F.min("c.context").alias("context"))
+    own = materialize(own, "entities")
+    seen = own.groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("n")).filter(F.col("n") >= support)
+    return materialize(own.join(seen.drop("n"), "entity"), "supported")
 
 
-def disclosures(df: DataFrame, near: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def words_of(scans: DataFrame, found: DataFrame) -> DataFrame:
+    """A written table: tkey of each text with such an entity, and term, start and end of its words outside base spans."""
+    texts = scans.join(found.select("tkey").distinct(), "tkey", "left_semi").dropDuplicates(["tkey"])
+    base = F.array_sort(F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in PATTERNS)))
+    each = with_matches(texts.select("tkey", "_text", base.alias("base")), "_text", {"word": _TERM})
+    apart = F.filter("word", lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    return materialize(each.select("tkey", F.explode(apart).alias("w")).select("tkey", F.lower("w.value").alias("term"), "w.start", "w.end"), "words")
+
+
+def disclosures(df: DataFrame, scans: DataFrame, found: DataFrame, words: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """entity, term and share: how much of the entity's information the term gives, where that is at least ``generalise``."""
-    seen = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    pairs = materialize(pairs.join(seen, "entity"), "pairs")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_TERM), F.lit(0)))
-    # The written table's size decides whether it is broadcast.
-    terms = materialize(pairs.select("term").distinct(), "terms")
-    held = df.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = F.greatest(F.lit(2), F.lit(df.count())).cast("double")
+    held = words.select("tkey", "term").distinct().join(found, "tkey")
+    pairs = held.groupBy("entity", "term", "context", "n_e").agg(F.count("*").alias("n")).groupBy("entity", "term", "n_e").agg(F.sum("n").alias("n_te"), F.count("*").alias("n_c"))
+    pairs = materialize(pairs.filter(F.col("n_c") >= support), "pairs")
+    # All c copies of a text hold the term, so rows / c are texts.
+    copies = materialize(scans.groupBy("tkey").agg(F.count("*").alias("c")), "copies")
+    total = F.lit(max(2, copies.count())).cast("double")
+    each = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("tkey", F.xxhash64("_text")).join(copies.filter("c > 1"), "tkey", "left")
+    terms = each.select(F.coalesce("c", F.lit(1)).alias("c"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(_TERM), F.lit(0)))).alias("term"))
+    held = terms.groupBy("term", "c").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum(F.expr("n div c")).alias("n_t"))
     n_t = F.greatest("n_t", "n_te")
     pmi = F.log(F.col("n_te") * total / (F.col("n_e") * n_t))
     content = F.log(F.greatest(total / F.col("n_e"), F.lit(1.0001)))
     return pairs.join(held, "term").withColumn("share", pmi / content).filter(F.col("share") >= generalise).select("entity", "term", "share")
 
 
-def disclosing_spans(df: DataFrame, scans: DataFrame, text: str = "text", **limits: float) -> DataFrame:
-    """row and the array of its disclosing terms' spans with their shares."""
-    near = materialize(near_terms(scans), "near-terms")
-    found = disclosures(df, near, text, **limits)
-    spans = near.join(found, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
-    return spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("term"))
+def disclosing_spans(df: DataFrame, scans: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """tkey and the array of its disclosing terms' spans with their shares: all places of the term in texts that hold the entity."""
+    found = entities(scans, support)
+    words = words_of(scans, found)
+    given = disclosures(df, scans, found, words, text, support, generalise)
+    shares = found.join(given, "entity").groupBy("tkey", "term").agg(F.max("share").alias("share"))
+    return words.join(shares, ["tkey", "term"]).groupBy("tkey").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("term"))
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:
@@ -184,10 +189,7 @@ def pii_digest(df: DataFrame) -> DataFrame:
     """Counts and digest of the base spans, and all spans, of each text."""
     scans = scanned(df)
     terms = disclosing_spans(df, scans)
-    # Terms inside a base span are part of it.
-    base = F.concat(*PATTERNS)
-    out = scans.join(terms, "row", "left").withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:int,end:int,share:double>>")))
-    out = out.withColumn("term", F.filter("term", lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
+    out = scans.join(terms, "tkey", "left").withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:int,end:int,share:double>>")))
     kinds = tuple(PATTERNS)
     return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds), F.sha2(_joined(kinds), 256).alias("base_sha256"), _joined(KINDS).alias("spans"))
 
@@ -201,7 +203,7 @@ def sanitised(df: DataFrame, text: str = "text", key: str = "doc_id", remove: fl
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("mark")))
 
     of_terms = F.transform(F.coalesce("term", F.array().cast("array<struct<start:int,end:int,share:double>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["share"] >= remove, "").otherwise("[TERM]").alias("mark")))
-    spans = scans.join(terms, "row", "left").select(F.struct("doc_id", "tkey").alias("_key"), F.array_sort(F.concat(*map(mark, PATTERNS), of_terms)).alias("_spans")).filter("size(_spans) > 0").dropDuplicates(["_key"])
+    spans = scans.join(terms, "tkey", "left").select(F.struct("doc_id", "tkey").alias("_key"), F.array_sort(F.concat(*map(mark, PATTERNS), of_terms)).alias("_spans")).filter("size(_spans) > 0").dropDuplicates(["_key"])
     whole = df.select(F.struct("*").alias("_doc"), F.struct(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tkey")).alias("_key"))
     joined = whole.join(spans.withColumnRenamed("_key", "_own"), F.col("_key").eqNullSafe(F.col("_own")), "left")
     old = F.col("_doc")[text]

@@ -65,3 +65,18 @@ def test_disclosing_terms(spark):
     clean = {r.doc_id: r.text for r in p.sanitised(df).collect()}
     assert "Quillfeather" not in clean[1003] and "[EMAIL]" in clean[1003] and clean[5] == text[5]
     assert clean[2001] == "mail Zanzibarian to [EMAIL] for more of it"
+
+
+def filler(rnd, n):
+    return " ".join("".join(rnd.choice("bcdfgklmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(n))
+
+
+def test_copies_hide_no_term(spark):
+    rnd = random.Random(11)
+    rows = [(k, filler(rnd, 20)) for k in range(300)]
+    rows += [(1000 + k, f"{filler(rnd, 12)} Quillfeather jo@corp.example {filler(rnd, 12)}") for k in range(3)]
+    terms = lambda rows: {r.doc_id: r.spans.count("term") for r in p.pii_digest(frame(spark, rows)).collect()}
+    copied = rows + [(2000 + k, rows[-1][1]) for k in range(400)]
+    assert [terms(rows)[1000 + k] for k in range(3)] == [1, 1, 1]
+    got = terms(copied)
+    assert all(got[k] == (k >= 1000) for k, _ in copied)
