@@ -80,3 +80,18 @@ def test_copies_hide_no_term(spark):
     assert [terms(rows)[1000 + k] for k in range(3)] == [1, 1, 1]
     got = terms(copied)
     assert all(got[k] == (k >= 1000) for k, _ in copied)
+
+
+def test_terms_far_and_short(spark):
+    """Terms count and are marked anywhere in the texts that hold the entity, short ones too."""
+    rnd = random.Random(12)
+    rows = [(k, filler(rnd, 20)) for k in range(300)]
+    rows += [(1000 + k, f"Kim 王小明 {filler(rnd, 15)} jo@corp.example {filler(rnd, 15)} corp Kim") for k in range(4)]
+    # Held without the term's neighbour, and a text without the entity.
+    rows += [(1010, f"{filler(rnd, 30)} jo@corp.example {filler(rnd, 200)} KIM {filler(rnd, 2)}"), (1011, f"{filler(rnd, 9)} lee")]
+    df, text = frame(spark, rows), dict(rows)
+    got = {r.doc_id: [text[r.doc_id][int(a) : int(b)] for kind, a, b in (x.split(":") for x in r.spans.split(",") if x) if kind == "term"] for r in p.pii_digest(df).collect()}
+    assert all(got[1000 + k] == ["Kim", "王小明", "corp", "Kim"] for k in range(4))
+    assert got[1010] == ["KIM"] and not any(v for k, v in got.items() if k < 1000 or k == 1011)
+    clean = {r.doc_id: r.text for r in p.sanitised(df).collect()}
+    assert "Kim" not in clean[1002] and "KIM" not in clean[1010] and "[EMAIL]" in clean[1010]
