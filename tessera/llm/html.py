@@ -2,12 +2,11 @@
 
 A page is cut into lines, one per block, without the parts that markup names as
 menus, headers, footers, sidebars, notices, adverts, forms or comments. Pages
-of a host are sorted by URL path; each is paired with the neighbour that shares
+of a host with the same set of lines are copies and one page, that of the least
+path; these are sorted by URL path, each is paired with the neighbour that shares
 the longer path prefix, their lines are aligned by longest common subsequence,
 and shared lines are deleted. Paragraphs and headings inside an ``article`` or
-``main`` element stay even if shared, and nothing is deleted where the shared
-lines hold more than half of the text: then the pair are copies, not pages of
-one template. If a page has an ``article`` or ``main`` with text, only that
+``main`` element stay even if shared. If a page has an ``article`` or ``main`` with text, only that
 counts.
 
 Scale: lines of pages are compared by 8-byte hashes. The light table of hashes
@@ -212,12 +211,9 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def shared(own: list[int], sizes: list[int], kept: list[bool], other: list[int]) -> list[int]:
-    """The lines to delete: shared with the neighbour and not protected; none where the pair are copies."""
-    same = common_lines(own, other)
-    if 2 * sum(sizes[i] for i in same) > sum(sizes):
-        return []
-    return [i for i in same if not kept[i]]
+def shared(own: list[int], kept: list[bool], other: list[int]) -> list[int]:
+    """The lines to delete: shared with the neighbour and not protected."""
+    return [i for i in common_lines(own, other) if not kept[i]]
 
 
 def host_of(url: Column) -> Column:
@@ -234,8 +230,8 @@ def page_key(*cols: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x00", *(F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in cols))))
 
 
-_LIGHT = "key binary, host string, path string, hashes array<long>, sizes array<int>, kept array<boolean>"
-_DROPS = "key binary, drop array<int>, edge struct<part:int,place:int,host:string,path:string,hashes:array<bigint>,sizes:array<int>,kept:array<boolean>,inner:array<bigint>,inner_path:string>"
+_LIGHT = "key binary, host string, path string, hashes array<long>, kept array<boolean>"
+_PAIRED = "key binary, other array<long>, edge struct<part:int,place:int,host:string,path:string,hashes:array<bigint>,inner:array<bigint>,inner_path:string>"
 
 
 def _light(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -243,10 +239,9 @@ def _light(batch: pa.RecordBatch) -> pa.RecordBatch:
     arrays = [
         column(batch, "key"), column(batch, "host"), column(batch, "path"),
         pa.array([[line_hash(t) for t, _ in f] for f in found], pa.list_(pa.int64())),
-        pa.array([[len(t) for t, _ in f] for f in found], pa.list_(pa.int32())),
         pa.array([[k for _, k in f] for f in found], pa.list_(pa.bool_())),
     ]
-    return pa.RecordBatch.from_arrays(arrays, ["key", "host", "path", "hashes", "sizes", "kept"])
+    return pa.RecordBatch.from_arrays(arrays, ["key", "host", "path", "hashes", "kept"])
 
 
 def _nearer(path: str, before: tuple | None, after: tuple | None) -> list[int] | None:
@@ -257,14 +252,14 @@ def _nearer(path: str, before: tuple | None, after: tuple | None) -> list[int] |
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deletions of the pages of one sorted partition; its first and last page are handed on."""
+    """The neighbours' lines of the pages of one sorted partition; its first and last page are handed on."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    types = [pa.binary(), pa.list_(pa.int32())]
+    types = [pa.binary(), pa.list_(pa.int64())]
     edge_type = pa.struct([
-        ("part", pa.int32()), ("place", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
-        ("kept", pa.list_(pa.bool_())), ("inner", pa.list_(pa.int64())), ("inner_path", pa.string()),
+        ("part", pa.int32()), ("place", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())),
+        ("inner", pa.list_(pa.int64())), ("inner_path", pa.string()),
     ])
 
     def near(row: dict, other: dict | None) -> tuple | None:
@@ -272,12 +267,12 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def edge(row: dict, place: int, inner: dict | None) -> tuple:
         n = near(row, inner)
-        own = {k: row[k] for k in ("host", "path", "hashes", "sizes", "kept")}
+        own = {k: row[k] for k in ("host", "path", "hashes")}
         return row["key"], [], own | {"part": part, "place": place, "inner": n[1] if n else None, "inner_path": n[0] if n else None}
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [*types, edge_type])], ["key", "drop", "edge"])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [*types, edge_type])], ["key", "other", "edge"])
 
     before = row = None
     out: list[tuple] = []
@@ -288,8 +283,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append(edge(row, 0, after))
                 else:
                     other = _nearer(row["path"], near(row, before), near(row, after))
-                    if other and (drop := shared(row["hashes"], row["sizes"], row["kept"], other)):
-                        out.append((row["key"], drop, None))
+                    if other:
+                        out.append((row["key"], other, None))
             before, row = row, after
         if len(out) >= 1000:
             yield table(out)
@@ -301,7 +296,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edges(table: pa.Table) -> pa.Table:
-    """Deletions of the pages at partition borders, from the page across the border and the inner neighbour."""
+    """The neighbours' lines of the pages at partition borders, from the page across the border and the inner neighbour."""
     rows = sorted(({"key": r["key"], **r["edge"]} for r in table.to_pylist()), key=lambda r: (r["part"], r["place"]))
     out = []
     for k, r in enumerate(rows):
@@ -317,21 +312,29 @@ def _edges(table: pa.Table) -> pa.Table:
         if not alone:
             before, after = (before, inner) if r["place"] == 0 else (inner, after)
         other = _nearer(r["path"], before, after)
-        if other and (drop := shared(r["hashes"], r["sizes"], r["kept"], other)):
-            out.append({"key": r["key"], "drop": drop})
-    return pa.Table.from_pylist(out, pa.schema([("key", pa.binary()), ("drop", pa.list_(pa.int32()))]))
+        if other:
+            out.append({"key": r["key"], "other": other})
+    return pa.Table.from_pylist(out, pa.schema([("key", pa.binary()), ("other", pa.list_(pa.int64()))]))
 
 
 def deletions(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """key and the numbers of the lines to delete, of pages that lose any. df must have a column ``key``."""
     light = df.select("key", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
-    light = materialize(map_batches(light, _light, _LIGHT), "page-lines").dropDuplicates(["key"])
-    ordered = light.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
+    light = materialize(map_batches(light, _light, _LIGHT).withColumn("lineset", F.xxhash64(F.array_sort(F.array_distinct("hashes")))), "page-lines").dropDuplicates(["key"])
+    pages = materialize(light.groupBy("host", "lineset").agg(F.min(F.struct("path", "key", "hashes")).alias("p")).select("host", "lineset", "p.*"), "distinct-pages")
+    ordered = pages.select("key", "host", "path", "hashes").repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
     ship(df.sparkSession)
-    found = materialize(ordered.mapInArrow(_neighbours, _DROPS), "page-drops")
+    found = materialize(ordered.mapInArrow(_neighbours, _PAIRED), "page-pairs")
     # Two rows a partition at most.
-    edges = found.filter("edge is not null").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_edges, "key binary, drop array<int>")
-    return materialize(found.filter("edge is null").select("key", "drop").unionByName(edges), "line-drops")
+    edges = found.filter("edge is not null").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_edges, "key binary, other array<long>")
+    paired = pages.select("host", "lineset", "key").join(found.filter("edge is null").select("key", "other").unionByName(edges), "key").drop("key")
+
+    def drops(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lost = [shared(*x) for x in zip(*(column(batch, c).to_pylist() for c in ("hashes", "kept", "other")))]
+        return pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(lost, pa.list_(pa.int32()))], ["key", "drop"])
+
+    both = light.join(paired, ["host", "lineset"]).select("key", "hashes", "kept", "other")
+    return materialize(map_batches(both, drops, "key binary, drop array<int>").filter("size(drop) > 0"), "line-drops")
 
 
 def main_text(html: str, drop: list[int] | None) -> str:

@@ -69,3 +69,12 @@ def test_same_by_any_partitioning(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert texts[0] == texts[1] == texts[2]
+
+
+def test_copies_and_long_templates(spark):
+    template = "".join(f"<div>Template line {j} of the whole site and more</div>" for j in range(9))
+    page = lambda k: f"<html><body>{template}<div>Own {k}</div></body></html>"
+    # Copies side by side by their query, before and after pages of other lines.
+    rows = [(k * 10 + j, f"http://a.example/{k}?copy={j}", page(k)) for k in range(6) for j in range(3)]
+    got = h.main_texts(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r.text == f"Own {r.page_id // 10}" for r in got)
