@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import column, map_batches, ship, texts_of
 
-#: Entries of each of the two generations of the chunk cache; speed only, never results.
-CACHED = 500_000
+#: Bounds of what a worker remembers; speed only, never results. Two caches of two generations hold CACHED bytes each at most, and
+#: PAIRS told pairs take 160 bytes each. On prose a worker grows by some 60 MB beside the vocabulary's 85.
+CACHED = 48_000_000
+PAIRS = 250_000
 
 #: Fixed value: the usual pattern of byte-level vocabularies.
 WORDWISE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -88,7 +90,7 @@ class Vocabulary:
         """Whether merging the bytes of a and b gives just these two tokens: no merge across the border comes in time."""
         if (told := self.known.get((a, b))) is not None:
             return told
-        if len(self.known) > 3_000_000:
+        if len(self.known) > PAIRS:
             self.known.clear()
         left, right = self._spine(a, 1), self._spine(b, 0)
         i = j = 0
@@ -166,10 +168,11 @@ class PrefixTable:
 
 
 class Cache:
-    """Encodings of chunks in two generations: the older is dropped when the newer is full."""
+    """Encodings of chunks in two generations, bounded in bytes: the older is dropped when the newer is full."""
 
     def __init__(self, make):
         self.make = make
+        self.size = 0
         self.new: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
@@ -185,8 +188,10 @@ class Cache:
         if (ids := self.old.get(chunk)) is None:
             ids = tuple(self.make(chunk))
         if len(chunk) <= 64:
-            if len(self.new) >= CACHED:
-                self.old, self.new = self.new, {}
+            # A slot, the headers of a string and a tuple, and what they hold; ids are the vocabulary's own numbers.
+            self.size += 210 + 4 * len(chunk) + 8 * len(ids)
+            if self.size > CACHED:
+                self.old, self.new, self.size = self.new, {}, 0
             self.new[chunk] = ids
         return ids
 
@@ -200,7 +205,14 @@ class Encoder:
         self.pieces = Cache(self.piece)
         # Chunks are told apart by words only if the pattern is the one for which that holds.
         self.by_words = pattern == WORDWISE
-        self.words = Cache(lambda word: self.pieces.all(self.cut(" " + word)))
+        self.words = Cache(self.word)
+
+    def word(self, word: str) -> list[int]:
+        """The ids of a space and a word; a first piece that begins with the space is itself such a word."""
+        first, *more = self.cut(" " + word)
+        if not more:
+            return self.piece(first)
+        return [*(self.words.one(first[1:]) if first[0] == " " and len(first) > 1 else self.pieces.one(first)), *self.pieces.all(more)]
 
     def piece(self, piece: str) -> list[int]:
         raw = piece.encode()
