@@ -13,8 +13,9 @@ epochs first, then the longest prefix of the next that fits. Documents stay
 whole.
 
 Scale: an order is the MD5 of seed, epoch and id. Leaves are cut into buckets by
-its first digits; running totals are kept over buckets, and only the bucket
-where the budget ends is ordered by document, so a hot leaf isn't one task.
+its first digits and only the bucket where the budget ends is cut again, until
+it holds FEW rows, which are ordered; so a hot leaf isn't one task. What is left
+of a leaf is the last order taken: texts meet one row a leaf and aren't shuffled.
 
 Nulls: a null level value is the name "" and gets that name's weight, or the
 default; a null text has no tokens; a null id is ordered as the word "null".
@@ -37,8 +38,9 @@ DEFAULT_WEIGHT = 10
 SHARE = (4, 5)
 EPOCHS = 2
 SEED = 17
-#: Hexadecimal digits that make a bucket.
+#: Hexadecimal digits that a bucket has more than the one it is part of, and rows of a border that are ordered in one task.
 DIGITS = 2
+FEW = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -86,23 +88,41 @@ def order_of(seed: int, epoch: Column, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
 
 
-def chosen(rows: DataFrame, key: str = "doc_id", weights: dict[str, dict[str, int]] = WEIGHTS, levels: tuple[str, ...] = LEVELS, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: int = SEED, digits: int = DIGITS) -> DataFrame:
+def cuts(rows: DataFrame, key: str = "doc_id", weights: dict[str, dict[str, int]] = WEIGHTS, levels: tuple[str, ...] = LEVELS, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: int = SEED, few: int = FEW) -> DataFrame:
+    """A written table, one row a leaf that gets anything: ``_whole`` epochs, and ``_cut``, the last order that the next one takes."""
+    leaves = materialize(rows.groupBy(*levels).agg(F.sum("tokens").alias("tokens")), "leaves")
+    plan = budgets(leaves, weights, levels, share, epochs).filter("tokens > 0 and budget > 0")
+    # The border is the bucket, of all orders that begin alike, where the budget ends; ``_ahead`` is what stands before it.
+    border = materialize(plan.select(*levels, F.expr("budget div tokens").cast("int").alias("_whole"), (F.col("budget") % F.col("tokens")).alias("_rest"), F.lit(0).cast("long").alias("_ahead"), F.lit("").alias("_border")), "mix-plan")
+    own = rows.select(*levels, key, "tokens")
+    for digits in range(DIGITS, 32 + DIGITS, DIGITS):
+        inside = own.join(border, list(levels)).withColumn("_order", order_of(seed, F.col("_whole"), F.col(key))).filter(F.col("_order").startswith(F.col("_border")))
+        buckets = inside.groupBy(*levels, "_whole", "_rest", "_ahead", F.substring("_order", 1, digits).alias("_bucket")).agg(F.sum("tokens").alias("_n"), F.count("*").alias("_rows"))
+        running = Window.partitionBy(*levels).orderBy("_bucket")
+        placed = buckets.withColumn("_upto", F.col("_ahead") + F.sum("_n").over(running)).filter("_upto > _rest and _upto - _n <= _rest")
+        border = materialize(placed.select(*levels, "_whole", "_rest", (F.col("_upto") - F.col("_n")).alias("_ahead"), F.col("_bucket").alias("_border"), "_rows"), "mix-border")
+        if (border.agg(F.max("_rows")).first()[0] or 0) <= few:
+            break
+        border = border.drop("_rows")
+    # RANGE frames take equal orders together; a border of all 32 digits is one order, which doesn't fit.
+    inside = own.join(border, list(levels)).withColumn("_order", order_of(seed, F.col("_whole"), F.col(key))).filter(F.col("_order").startswith(F.col("_border")) & (F.length("_border") < 32))
+    fits = inside.withColumn("_upto", F.col("_ahead") + F.sum("tokens").over(Window.partitionBy(*levels).orderBy("_order"))).filter("_upto <= _rest")
+    last = fits.groupBy(*levels).agg(F.max("_order").alias("_cut"))
+    # Orders are longer than the border, so without any that fits the border's own name cuts before it.
+    return materialize(border.join(last, list(levels), "left").select(*levels, "_whole", F.coalesce("_cut", "_border").alias("_cut"), (F.length("_border") < 32).alias("_with")), "mix-cuts")
+
+
+def taken(rows: DataFrame, cut: DataFrame, key: str, levels: tuple[str, ...], seed: int) -> DataFrame:
+    """Rows with levels, as often as the cuts say, with ``epoch``."""
+    order = order_of(seed, F.col("_whole"), F.col(key))
+    fits = (order < F.col("_cut")) | (order == F.col("_cut")) & F.col("_with")
+    copies = rows.join(cut, list(levels)).withColumn("_copies", F.col("_whole") + fits.cast("int")).filter("_copies > 0")
+    return copies.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_whole", "_cut", "_with", "_copies")
+
+
+def chosen(rows: DataFrame, key: str = "doc_id", levels: tuple[str, ...] = LEVELS, seed: int = SEED, **options) -> DataFrame:
     """One row per document and epoch in which it is taken, with all columns of rows (which has levels and tokens) and ``epoch``."""
-    leaves = rows.groupBy(*levels).agg(F.sum("tokens").alias("tokens"))
-    plan = budgets(leaves, weights, levels, share, epochs).filter("tokens > 0 and budget > 0").select(*levels, F.expr("budget div tokens").cast("int").alias("_whole"), (F.col("budget") % F.col("tokens")).alias("_rest"))
-    ordered = rows.join(plan, list(levels)).withColumn("_order", order_of(seed, F.col("_whole"), F.col(key))).withColumn("_bucket", F.substring("_order", 1, digits))
-    totals = ordered.groupBy(*levels, "_bucket").agg(F.sum("tokens").alias("_n"))
-    running = Window.partitionBy(*levels).orderBy("_bucket")
-    totals = totals.withColumn("_upto", F.sum("_n").over(running)).withColumn("_ahead", F.col("_upto") - F.col("_n")).drop("_n")
-    at = ordered.join(totals, [*levels, "_bucket"])
-    inside = Window.partitionBy(*levels, "_bucket").orderBy("_order")
-    # RANGE frames take equal orders together.
-    border = at.filter("_upto > _rest and _ahead <= _rest").withColumn("_cum", F.col("_ahead") + F.sum("tokens").over(inside)).withColumn("_in", F.col("_cum") <= F.col("_rest")).drop("_cum")
-    others = at.filter("_upto <= _rest or _ahead > _rest").withColumn("_in", F.col("_upto") <= F.col("_rest"))
-    both = others.unionByName(border)
-    copies = F.col("_whole") + F.col("_in").cast("int")
-    both = both.withColumn("_copies", copies).filter("_copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    return both.drop("_whole", "_rest", "_order", "_bucket", "_upto", "_ahead", "_in", "_copies")
+    return taken(rows, cuts(rows, key, levels=levels, seed=seed, **options), key, levels, seed)
 
 
 def with_levels(df: DataFrame, text: str = "text") -> DataFrame:
@@ -119,11 +139,16 @@ def mix_documents(df: DataFrame) -> DataFrame:
     return chosen(materialize(rows, "mix-rows")).select("doc_id", *LEVELS, "tokens", "epoch")
 
 
-def mix(df: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with the columns of df; a document taken in several epochs comes as often."""
-    whole = df.select(F.struct("*").alias("_doc"), "doc_id", "lang", "source", "text")
-    rows = with_levels(whole).select("_doc", "doc_id", *LEVELS, "tokens")
-    return chosen(rows, **options).select(*(F.col("_doc")[c].alias(c) for c in df.columns))
+def mix(df: DataFrame, levels: tuple[str, ...] = LEVELS, seed: int = SEED, **options) -> DataFrame:
+    """The documents of the mix with the columns of df; a document taken in several epochs comes as often.
+
+    Texts only meet the table of cuts, one row a leaf, which Spark broadcasts where its size allows.
+    """
+    light = with_levels(df.select("doc_id", "lang", "source", "text")).select("doc_id", *LEVELS, "tokens")
+    cut = cuts(materialize(light, "mix-rows"), "doc_id", levels=levels, seed=seed, **options)
+    whole = df.select(F.struct("*").alias("_doc"), "doc_id", "lang", "source")
+    rows = whole.withColumns({"domain": domain_of(F.col("source")), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))})
+    return taken(rows, cut, "doc_id", levels, seed).select(*(F.col("_doc")[c].alias(c) for c in df.columns))
 
 
 SQL = """

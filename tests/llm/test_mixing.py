@@ -73,3 +73,10 @@ def test_frames(spark):
     assert got and all(r.epoch in (0, 1) for r in got)
     assert m.mix(df).columns == df.columns and m.mix(df).count() == len(got)
     assert m.mix_documents(df.limit(0)).count() == 0
+
+
+def test_border_cut_again_until_few(spark):
+    rows = [(k // 3, ("dom0", "en", f"src{k % 2}"), k * 31 % 17) for k in range(3000)]
+    df = spark.createDataFrame([(k, *p, n) for k, p, n in rows], "doc_id long, domain string, lang string, source string, tokens long")
+    got = m.chosen(df, share=(1, 2), epochs=1, few=0).select("doc_id", *m.LEVELS, "tokens", "epoch").collect()
+    assert sorted(str(tuple(r)) for r in got) == brute(rows, (1, 2), 1, m.WEIGHTS)[0]
