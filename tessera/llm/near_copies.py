@@ -1,94 +1,104 @@
-"""Near copies by prefix filtering over word shingles, verified by their exact Jaccard similarity.
-
-All shingles have one order, rare ones first. Of two texts with a similarity of
-at least t, each has one of the n - ceil(t n) + 1 first of its n shingles in
-common with the other's, so texts that share none of these are not near copies:
-the candidates are whole. How rare a shingle is comes from a sketch of counts;
-the sketch only orders, so its errors cost time and lose nothing.
-
-Texts of one shingle meet in rounds. In each, some of them are hubs, those whose
-shingles are common first, and are held against all others that are not yet
+"""Near copies: SimHash links and bands of least hashes propose, the exact Jaccard similarity of word shingles decides.
+
+A 64-bit fingerprint can't tell a similarity of 0.8: there fingerprints differ in
+about 10 bits, and probing for that many reaches a fixed share of all pairs. So
+the links of ``simhash`` (general pigeonhole, ``DISTANCE`` bits) find the closer
+copies, and bands find the others: of BANDS bands, each the least values of ROWS
+hash functions over the set of shingles, a pair of similarity s shares one with
+probability 1 - (1 - s^ROWS)^BANDS: 0.9995 at 0.8, 0.99998 at 0.85, and under
+0.01 at 0.3. Texts with a component or a band in common form a list.
+
+Texts of one list meet in rounds. In each, some of them are hubs, those with most
+texts in their lists first, and are held against all others that are not yet
 linked to them; then they leave the list. A short list has only hubs, a long one
 four times as many in each round as in the one before. So a large group with its
-original is settled at once, and the rounds end when no unlinked pair is untried:
-a large group whose members share rare shingles but aren't similar is paired off.
+original is settled at once, and the rounds end when no unlinked pair is untried.
 
-Nulls: a null text counts as empty. Empty texts are copies of each other. Ties:
-equal texts are one from the start. An empty table gives an empty result. All
+Nulls: a null text counts as empty; texts without words are copies of each other.
+Ties: equal texts are one from the start. A text of any length has a list of
+fixed size and is hashed in blocks. An empty table gives an empty result. All
 columns are kept, also those with names of the result's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import ceil
-
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.common import column, map_batches, materialize, ship, texts_of
 from tessera.llm.components import components
-from tessera.llm.simhash import SEED, signed
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Cells of the sketch, and of a part of it.
-CELLS, PART = 1 << 20, 1 << 14
+DISTANCE = 2
+BANDS, ROWS = 32, 7
 #: Lists up to this are paired off at once.
 FEW = 12
 
+_random = np.random.default_rng(simhash.SEED)
+_TURNS = _random.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _random.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
-def shingles(text: str, width: int = WIDTH) -> set[bytes]:
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-
-
-def similar(a: str, b: str, least: float) -> bool:
-    x, y = shingles(a), shingles(b)
-    both = len(x & y)
-    return both >= least * (len(x) + len(y) - both)
 
+def _set(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
 
-def shingle_hashes(text: str) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text)], np.uint64)
 
+def distinct_hashes(text: str) -> np.ndarray:
+    """The set of shingles by their hashes; no words are one shingle."""
+    return _set(simhash.shingle_hashes(text, WIDTH))
 
-def sketch(texts: DataFrame) -> np.ndarray:
-    """About how many texts hold the shingles of each cell, at least 1."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for t in texts_of(batch, "text"):
-                np.add.at(cells, (shingle_hashes(t) % CELLS).astype(np.int64), 1)
-        parts = [cells[k : k + PART].tobytes() for k in range(0, CELLS, PART)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "cells"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table["cells"].to_pylist())
-        return pa.table({"part": table["part"][:1], "cells": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
-
-    held = texts.mapInArrow(count, "part int, cells binary").groupBy("part").applyInArrow(add, "part int, cells binary").collect()
-    out = np.zeros(CELLS, np.int32)
-    for part, cells in held:
-        out[part * PART : (part + 1) * PART] = np.frombuffer(cells, np.int32)
-    return np.maximum(out, 1)
-
-
-def first_shingles(text: str, counts: np.ndarray, least: float) -> tuple[list[int], int, float]:
-    """The shingles that a near copy can't all miss, the number of all, and how rare they are on average."""
-    hashes = shingle_hashes(text)
-    seen = counts[hashes % CELLS]
-    n = len(hashes)
-    first = np.lexsort((hashes, seen))[: n - ceil(least * n - 1e-9) + 1]
-    return hashes[first].view(np.int64).tolist(), n, -float(np.log(seen).mean())
+def similar(a: str, b: str, least: float) -> bool:
+    x, y = distinct_hashes(a), distinct_hashes(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return bool(both >= least * (len(x) + len(y) - both) - 1e-9)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A number for each band: equal where the least values of its hash functions are."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for first in range(0, len(hashes), 1024):
+        turned = (hashes[None, first : first + 1024] ^ _TURNS[0][:, None]) * _TURNS[1][:, None]
+        np.minimum(least, turned.min(1), out=least)
+    mixed = (least.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64)
+    return mixed ^ mixed >> np.uint64(29)
+
+
+_MARKS = "id long, n int, fp long, bands array<long>"
+
+
+def _marks(batch: pa.RecordBatch) -> pa.RecordBatch:
+    ids, n, fps, tokens = [], [], [], []
+    for key, text in dict(zip(column(batch, "id").to_pylist(), texts_of(batch, "text"))).items():
+        hashes = simhash.shingle_hashes(text, WIDTH)
+        own = _set(hashes)
+        ids.append(key)
+        n.append(len(own))
+        fps.append(simhash.signed(simhash.fingerprint_of(hashes)))
+        tokens.append(bands(own).view(np.int64))
+    cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(fps, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in _MARKS.split(", ")])
+
+
+def lists(marks: DataFrame) -> DataFrame:
+    """token, id, n and weight (how many texts its lists hold) of the texts that share a token; marks: one row a text."""
+    classes = materialize(marks.groupBy("fp").agg(F.count("*").alias("texts")), "fingerprints")
+    roots = components(simhash.links(classes.select("fp"), DISTANCE)).withColumnRenamed("node", "fp")
+    by_print = marks.join(roots, "fp", "left").select(F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("token"), "id", "n")
+    each = by_print.unionByName(marks.select(F.posexplode("bands").alias("band", "value"), "id", "n").select(F.xxhash64("band", "value").alias("token"), "id", "n"))
+    each = materialize(each, "tokens")
+    sizes = materialize(each.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "list-sizes")
+    posts = materialize(each.join(sizes, "token"), "shared-tokens")
+    weights = posts.groupBy("id").agg(F.sum("size").alias("weight"))
+    return materialize(posts.drop("size").join(weights, "id"), "posts")
 
 
 def linked(posts: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """node and root of the components of all similar pairs in lists; posts: token, id, n (shingles), rare; held: k, text."""
+    """node and root of the components of all similar pairs in lists; posts: token, id, n (shingles), weight; held: k, text."""
     spark = posts.sparkSession
 
     @F.arrow_udf("boolean")
@@ -106,17 +116,19 @@ def linked(posts: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
         if now.isEmpty():
             return roots
         share = F.when(F.col("size") <= FEW, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(hubs_of)))
-        hubs = materialize(now.groupBy("token", share.alias("share")).agg(F.min(F.struct("rare", "id", "n", "root")).alias("hub")).select("token", "hub"), "hubs")
+        hubs = materialize(now.groupBy("token", share.alias("share")).agg(F.max(F.struct("weight", "id", "n", "root")).alias("hub")).select("token", "hub"), "hubs")
         sizes = (F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n") - 1e-6) & (F.col("root") != F.col("hub.root"))
         met = now.join(hubs, "token").filter(sizes).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
         pairs = materialize(met.join(tried, ["a", "b"], "left_anti"), "pairs")
-        compared = pairs.join(held.select(F.col("k").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("k").alias("b"), F.col("text").alias("y")), "b")
+        # Only the texts of this round's pairs are moved.
+        side = lambda end, name: held.withColumnsRenamed({"k": end, "text": name}).join(pairs.select(end).distinct(), end, "left_semi")
+        compared = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
         more = materialize(compared.withColumn("same", same("x", "y")).filter("same").select("a", "b"), "verified")
         if not more.isEmpty():
             found = found.unionByName(more)
             roots = components(found)
         tried = tried.unionByName(pairs)
-        posts = materialize(now.join(hubs.select("token", F.col("hub.id").alias("id")), ["token", "id"], "left_anti").select("token", "id", "n", "rare"), "posts")
+        posts = materialize(now.join(hubs.select("token", F.col("hub.id").alias("id")), ["token", "id"], "left_anti").select("token", "id", "n", "weight"), "posts")
         hubs_of *= 4
 
 
@@ -124,24 +136,11 @@ def text_classes(df: DataFrame, text: str = "text", key: str = "doc_id", similar
     """doc_id, tkey (hash of the text) and root (the class) of every row."""
     ship(df.sparkSession)
     read = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
-    counts = df.sparkSession.sparkContext.broadcast(sketch(read.select("text")))
-
-    def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [first_shingles(t, counts.value, similarity)[0] for t in texts_of(batch, "text")]
-        return pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(rows, pa.list_(pa.int64()))], ["id", "tokens"])
-
-    def sizes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [first_shingles(t, counts.value, similarity)[1:] for t in texts_of(batch, "text")]
-        return pa.RecordBatch.from_arrays([column(batch, "k"), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float32())], ["id", "n", "rare"])
-
-    each = map_batches(read.select(F.col("tkey").alias("id"), "text"), tokens, "id long, tokens array<long>").select(F.explode("tokens").alias("token"), "id")
-    # Most shingles are in one text; one shuffle and a sort by shingle tell which aren't.
-    order = Window.partitionBy("token").orderBy("id")
-    beside = each.select("token", "id", F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("after"))
-    shared = materialize(beside.filter("before != id or before is null and after is not null").select("token", "id"), "shared-shingles")
-    ids = shared.select(F.col("id").alias("k")).distinct()
-    held = materialize(read.select(F.col("tkey").alias("k"), "text").join(ids, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text")), "held-texts")
-    posts = materialize(shared.join(map_batches(held, sizes, "id long, n int, rare float"), "id"), "posts")
+    marks = materialize(map_batches(read.select(F.col("tkey").alias("id"), "text"), _marks, _MARKS).dropDuplicates(["id"]), "marks")
+    posts = lists(marks)
+    # Copies fold into one before the shuffle.
+    texts = read.groupBy(F.col("tkey").alias("k")).agg(F.first("text").alias("text"))
+    held = materialize(texts.join(posts.select(F.col("id").alias("k")).distinct(), "k", "left_semi"), "held-texts")
     roots = linked(posts, held, similarity).withColumnRenamed("node", "tkey")
     return read.select("doc_id", "tkey").join(roots, "tkey", "left").withColumn("root", F.coalesce("root", "tkey"))
 
@@ -149,8 +148,10 @@ def text_classes(df: DataFrame, text: str = "text", key: str = "doc_id", similar
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, that of the least id (null ids last) and text hash; all columns stay."""
     found = text_classes(df, text, key, similarity)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("f")).select(F.struct("f.doc_id", "f.tkey").alias("_first"))
-    own = F.struct(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tkey"))
-    whole = df.select(F.struct("*").alias("_doc"), own.alias("_key"))
-    kept = whole.join(first, F.col("_key").eqNullSafe(F.col("_first"))).dropDuplicates(["_key"])
-    return kept.select(*(F.col("_doc")[c].alias(c) for c in df.columns))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("f"))
+    own = lambda i, t: {"_none": i.isNull(), "_id": F.coalesce(i, F.lit(0)), "_text": t}
+    kept = first.select(*(c.alias(n) for n, c in own(F.col("f.doc_id"), F.col("f.tkey")).items()))
+    whole = df.select(F.struct("*").alias("_doc"), *(c.alias(n) for n, c in own(F.col(key).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))).items()))
+    # The same three columns, none of them null, deal the rows for the join and for rows that repeat.
+    one = whole.join(kept, ["_none", "_id", "_text"]).dropDuplicates(["_none", "_id", "_text"])
+    return one.select(*(F.col("_doc")[c].alias(c) for c in df.columns))

@@ -46,24 +46,33 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str, width: int) -> int:
-    """Bits set in over half of the hashes of all word shingles; zero without words."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """The XXH64 of all word shingles, repeats included; of the whole sequence if it is shorter; none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    n = len(words) - width + 1
+    n = max(1, len(words) - width + 1)
     starts = [0]
     for w in words:
         starts.append(starts[-1] + len(w) + 1)
-    hashes = b"".join([xxhash.xxh64_digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[width:])])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(n, 8), axis=1)
+    ends = starts[width:] if len(words) >= width else starts[-1:]
+    hashes = b"".join([xxhash.xxh64_digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends)])
+    return np.frombuffer(hashes, ">u8", n).astype(np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes; zero without any. Bits are unpacked in blocks, so a long text takes no more memory."""
     sums = np.zeros(BITS, np.int64)
-    for first in range(0, n, 65536):
-        sums += bits[first : first + 65536].sum(0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * sums > n).tobytes(), "big")
+    for first in range(0, len(hashes), 65536):
+        block = hashes[first : first + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
+        sums += np.unpackbits(block, axis=1).sum(0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * sums > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str, width: int) -> int:
+    """Bits set in over half of the hashes of all word shingles; zero without words."""
+    return fingerprint_of(shingle_hashes(text, width))
 
 
 def fingerprints(df: DataFrame, width: int, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -76,3 +76,22 @@ def test_as_all_pairs(spark):
                 x, y = sorted((top(i), top(j)))
                 root[y] = x
     assert kept_ids(spark, texts) == [i for i in range(len(texts)) if root[i] == i]
+
+
+def test_recall_in_each_length_class():
+    """Of pairs with a similarity of 0.8 to 0.86, how many share a band; a pair that shares one is compared exactly."""
+    rnd = random.Random(3)
+    for words in (25, 40, 100, 300, 1000):
+        met = tried = 0
+        while tried < 150:
+            base = [f"r{rnd.randrange(9000)}" for _ in range(words)]
+            copy = list(base)
+            for _ in range(max(1, words // 50)):
+                copy[rnd.randrange(words)] = f"edit{rnd.random()}"
+            a, b = n.distinct_hashes(" ".join(base)), n.distinct_hashes(" ".join(copy))
+            both = len(set(a.tolist()) & set(b.tolist()))
+            if 0.8 <= both / (len(a) + len(b) - both) <= 0.86 or words < 100 and n.similar(" ".join(base), " ".join([*base, "end"]), 0.8):
+                b = b if words >= 100 else n.distinct_hashes(" ".join([*base, "end"]))
+                tried += 1
+                met += bool((n.bands(a) == n.bands(b)).any())
+        assert met >= 0.99 * tried, (words, met)
