@@ -17,6 +17,7 @@ from hashlib import sha256
 from itertools import chain
 from math import inf
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -265,7 +266,12 @@ def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", in
     @F.arrow_udf("array<int>")
     def ids(a: pa.Array) -> pa.Array:
         e = encoder(held.value, pattern)
-        return pa.array([e.encode(t or "").tolist() for t in a.to_pylist()], pa.list_(pa.int32()))
+        flat, ends = array("I"), array("i", [0])
+        for t in a:
+            flat += e.encode(t.as_py() or "")
+            ends.append(len(flat))
+        # Ids stay numbers of four bytes on their way; the arrays are read in place.
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
 
     return df.withColumn(into, ids(df[text]))
 

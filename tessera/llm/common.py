@@ -11,12 +11,18 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch where the session leaves Spark's default of 10,000: whole texts are long.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
 _shipped: set[str] = set()
 _own_dir: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application."""
+    """Send this package to the executors once per application, and bound Arrow batches."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
