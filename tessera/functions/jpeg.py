@@ -8,10 +8,14 @@ rule raises Invalid with the reason; state never outlives a file.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
+from tessera.schema import MAX_DECODED, MAX_FILE, ZIGZAG
+
 SKIPPED = {*range(0xE0, 0xF0), 0xFE, *range(0xF0, 0xFE), 0xDC, 0xDE, 0xDF}
 SOI, SOF0, SOF2, DHT, SOS, DQT, DRI = 0xD8, 0xC0, 0xC2, 0xC4, 0xDA, 0xDB, 0xDD
 
@@ -48,6 +52,13 @@ class Header:
             "max_h": self.max_h, "max_v": self.max_v, "bmp_padding": self.width % 4,
         }
 
+    @property
+    def decoded_bytes(self) -> int:
+        """What the decoded blocks take in 16-bit samples, by the factors of the last component."""
+        g, last = self.geometry(), self.comps[-1]
+        blocks = (g["mcu_h"] + last["v"]) * g["mcu_w_real"] + g["mcu_w"] + last["h"]
+        return 2 * 64 * blocks * len(self.comps)
+
 
 class Cursor:
     """A place in the bytes; reads past the end are invalid."""
@@ -107,8 +118,6 @@ def _dqt(c: Cursor, h: Header, length: int) -> None:
         wide = 2 if info >> 4 else 1
         raw = np.frombuffer(c.take(64 * wide), ">u2" if wide == 2 else "u1")
         table = np.zeros(64, int)
-        from tessera.schema import ZIGZAG
-
         table[list(ZIGZAG)] = raw
         h.qt[info & 15] = table.tolist()
         left -= 1 + 64 * wide
@@ -202,10 +211,20 @@ def parse_header(data: bytes) -> Header:
     return h
 
 
+def gated_header(data: bytes) -> Header:
+    """The header of a file within the limits on its bytes and on its decoded size."""
+    if len(data) > MAX_FILE:
+        raise Invalid("file over the limit")
+    h = parse_header(data)
+    if h.decoded_bytes > MAX_DECODED:
+        raise Invalid("decoded size over the limit")
+    return h
+
+
 # -- entropy decoding --------------------------------------------------------
 
 
-def canonical(counts: list[int]) -> list[tuple[int, int]]:
+def canonical(counts: Sequence[int]) -> list[tuple[int, int]]:
     """(code, length) of each symbol in order: counts up within a length, doubles from length to length."""
     out, code = [], 0
     for length, n in enumerate(counts, 1):
@@ -214,15 +233,16 @@ def canonical(counts: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _lookup(counts: list[int], symbols: list[int]) -> np.ndarray:
-    """For each 16-bit window: length << 8 | symbol, or 0 where no code fits."""
+@lru_cache(maxsize=32)
+def _lookup(counts: tuple[int, ...], symbols: tuple[int, ...]) -> list[int]:
+    """For each 16-bit window: length << 8 | symbol, or 0 where no code fits. Files that share their tables share these."""
     table = np.zeros(1 << 16, np.int32)
     for (code, length), symbol in zip(canonical(counts), symbols):
         first = code << 16 - length
         if first + (1 << 16 - length) > 1 << 16:
             raise Invalid("Huffman codes overflow")
         table[first : first + (1 << 16 - length)] = length << 8 | symbol
-    return table
+    return table.tolist()
 
 
 _RESTART = re.compile(rb"\xff+([\xd0-\xd7])")
@@ -237,92 +257,173 @@ def segments(data: bytes, start: int) -> list[bytes]:
     return [re.sub(rb"\xff+\x00", b"\xff", p) for p in parts]
 
 
-def decode_scan(data: bytes, h: Header) -> tuple[np.ndarray, np.ndarray]:
-    """(coefficients in stream order with DC as differences, keys): keys are brow, bcol, comp, scan_idx, restart_seg."""
+def read_block(raw: bytes, pos: int, dc: list[int], ac: list[int], places: list[int], values: list[int]) -> int:
+    """Decodes the block that begins at bit ``pos`` of raw, which ends with eight spare bytes: its places and values are appended, the bit after it returned."""
+    k = 0
+    base = pos & ~7
+    window = int.from_bytes(raw[base >> 3 : (base >> 3) + 8].ljust(8, b"\0"), "big")
+    while k < 64:
+        # The window holds 64 bits from the byte at base.
+        if pos - base > 32:
+            base = pos & ~7
+            window = int.from_bytes(raw[base >> 3 : (base >> 3) + 8].ljust(8, b"\0"), "big")
+        hit = (ac if k else dc)[window >> 48 - (pos - base) & 0xFFFF]
+        symbol = hit & 255
+        if not hit or symbol == 255:
+            raise Invalid("unknown code")
+        pos += hit >> 8
+        size = symbol & 15 if k else symbol
+        if size > (10 if k else 11):
+            raise Invalid("AC size over 10" if k else "DC size over 11")
+        if k:
+            if symbol == 0:
+                break
+            k += 16 if symbol == 0xF0 else symbol >> 4
+            if k > (64 if symbol == 0xF0 else 63):
+                raise Invalid("zero run past the block")
+            # A run without a value skips just the run.
+            if not size:
+                continue
+        if size:
+            bits = window >> 64 - (pos - base) - size & (1 << size) - 1
+            pos += size
+            places.append(k)
+            values.append(bits if bits >> size - 1 else bits - (1 << size) + 1)
+        k += 1
+    return pos
+
+
+def scan_shape(h: Header) -> list[tuple[int, int, int, list[int], list[int]]]:
+    """Component, row and column within a unit, and the code tables, of a unit's blocks in order."""
     for c in h.comps:
         if c["tq"] not in h.qt:
             raise Invalid("missing quantization table")
         if c["td"] not in h.dc or c["ta"] not in h.ac:
             raise Invalid("missing Huffman table")
+    luts = {(kind, k): _lookup(*map(tuple, t)) for kind, tables in enumerate((h.dc, h.ac)) for k, t in tables.items()}
+    return [(k, y, x, luts[0, c["td"]], luts[1, c["ta"]]) for k, c in enumerate(h.comps) for y in range(c["v"]) for x in range(c["h"])]
+
+
+def block_keys(h: Header, blocks: np.ndarray) -> np.ndarray:
+    """brow, bcol, comp, scan_idx, restart_seg of blocks by their number in the scan."""
+    g = h.geometry()
+    unit = np.array([(k, y, x) for k, c in enumerate(h.comps) for y in range(c["v"]) for x in range(c["h"])])
+    # A block's number within its component's blocks of a unit.
+    nth = np.array([(unit[:j, 0] == u[0]).sum() for j, u in enumerate(unit)])
+    sizes = np.bincount(unit[:, 0])
+    across = g["mcu_w_real"] // h.max_h
+    mcu, at = np.divmod(blocks, len(unit))
+    comp, y, x = unit[at].T
+    seg = mcu // h.restart_interval if h.restart_interval else np.zeros_like(mcu)
+    return np.stack([mcu // across * h.max_v + y, mcu % across * h.max_h + x, comp, mcu * sizes[comp] + nth[at], seg], axis=1).astype(np.int32)
+
+
+def block_count(h: Header) -> int:
     g = h.geometry()
-    across, down = g["mcu_w_real"] // h.max_h, g["mcu_h_real"] // h.max_v
-    mcus = across * down
-    luts = {(0, k): _lookup(*t).tolist() for k, t in h.dc.items()} | {(1, k): _lookup(*t).tolist() for k, t in h.ac.items()}
-    shape = [(k, y, x, luts[0, c["td"]], luts[1, c["ta"]]) for k, c in enumerate(h.comps) for y in range(c["v"]) for x in range(c["h"])]
-    out = np.zeros((mcus * len(shape), 64), np.int32)
-    keys = np.zeros((mcus * len(shape), 5), np.int32)
-    per = h.restart_interval or mcus
+    return g["mcu_w_real"] // h.max_h * (g["mcu_h_real"] // h.max_v) * sum(c["h"] * c["v"] for c in h.comps)
+
+
+def scan_parts(data: bytes, h: Header) -> list[bytes]:
+    """The bytes that are decoded on their own: restart segments, or the whole scan; markers without an interval are dropped."""
     parts = segments(data, h.data_start)
-    if not h.restart_interval:
-        # Restart markers without an interval are dropped.
-        parts = [b"".join(parts)]
-    at = 0
-    counters = [0] * len(h.comps)
+    return parts if h.restart_interval else [b"".join(parts)]
+
+
+def decode_scan(data: bytes, h: Header, only: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients in stream order with DC as differences, keys as of block_keys) of all restart segments, or of one."""
+    shape, total, parts = scan_shape(h), block_count(h), scan_parts(data, h)
+    per = h.restart_interval * len(shape) or total
+    first, last = (0, total) if only is None else (only * per, min(total, (only + 1) * per))
     rows: list[int] = []
     places: list[int] = []
     values: list[int] = []
-    for seg in range(-(-mcus // per)):
-        if seg >= len(parts):
+    for at in range(first, last):
+        seg, within = divmod(at, per)
+        if not within:
+            if seg >= len(parts):
+                raise Invalid("scan cut short")
+            raw, bits, pos = parts[seg] + b"\0" * 8, 8 * len(parts[seg]), 0
+        _, _, _, dc, ac = shape[at % len(shape)]
+        pos = read_block(raw, pos, dc, ac, places, values)
+        rows += [at - first] * (len(places) - len(rows))
+        if pos > bits:
             raise Invalid("scan cut short")
-        raw = parts[seg]
-        total = 8 * len(raw)
-        raw += b"\0" * 8
-        pos, base, window = 0, 0, int.from_bytes(raw[:8], "big")
-        for mcu in range(seg * per, min(mcus, (seg + 1) * per)):
-            for comp, y, x, dc, ac in shape:
-                k = 0
-                while k < 64:
-                    # The window holds 64 bits from the byte at base.
-                    if pos - base > 32:
-                        base = pos & ~7
-                        window = int.from_bytes(raw[base >> 3 : (base >> 3) + 8].ljust(8, b"\0"), "big")
-                    hit = (dc if k == 0 else ac)[window >> 48 - (pos - base) & 0xFFFF]
-                    if not hit:
-                        raise Invalid("unknown code")
-                    pos += hit >> 8
-                    symbol = hit & 255
-                    if symbol == 255:
-                        raise Invalid("unknown code")
-                    size = symbol if k == 0 else symbol & 15
-                    if size > (11 if k == 0 else 10):
-                        raise Invalid("DC size over 11" if k == 0 else "AC size over 10")
-                    if k:
-                        if symbol == 0:
-                            break
-                        k += 16 if symbol == 0xF0 else symbol >> 4
-                        if symbol == 0xF0:
-                            if k > 64:
-                                raise Invalid("zero run past the block")
-                            continue
-                        if k > 63:
-                            raise Invalid("zero run past the block")
-                    if size:
-                        bits = window >> 64 - (pos - base) - size & (1 << size) - 1
-                        pos += size
-                        rows.append(at)
-                        places.append(k)
-                        values.append(bits if bits >> size - 1 else bits - (1 << size) + 1)
-                    elif k:
-                        # A run without a value skips just the run.
-                        continue
-                    k += 1
-                if pos > total:
-                    raise Invalid("scan cut short")
-                keys[at] = (mcu // across * h.max_v + y, mcu % across * h.max_h + x, comp, counters[comp], seg)
-                counters[comp] += 1
-                at += 1
+    out = np.zeros((last - first, 64), np.int32)
     out[rows, places] = values
-    return out, keys
+    return out, block_keys(h, np.arange(first, last))
+
+
+# -- parallel decoding within a scan -----------------------------------------
+
+
+class Guess:
+    """Blocks decoded from a bit where a block may or may not begin, as far as asked; wrong codes are passed a bit at a time."""
+
+    def __init__(self, raw: bytes, start: int, shape: list[tuple]):
+        self.raw, self.bits, self.shape = raw + b"\0" * 8, 8 * len(raw), shape
+        self.pos, self.phase = start, 0
+        self.found: list[tuple[int, int, list[int], list[int]]] = []
+        self.begins: set[tuple[int, int]] = set()
+        tables = [(id(dc), id(ac)) for *_, dc, ac in shape]
+        turns = [tables[k:] + tables[:k] for k in range(len(shape))]
+        #: Phases from which the same tables follow decode alike.
+        self.alike = [turns.index(t) for t in turns]
+
+    def state(self) -> tuple[int, int]:
+        return self.pos, self.alike[self.phase]
+
+    def step(self) -> bool:
+        if self.pos >= self.bits:
+            return False
+        begin, places, values = self.state(), [], []
+        *_, dc, ac = self.shape[self.phase]
+        try:
+            after = read_block(self.raw, self.pos, dc, ac, places, values)
+        except Invalid:
+            self.pos, self.phase = self.pos + 1, 0
+            return True
+        if after > self.bits:
+            return False
+        self.begins.add(begin)
+        self.found.append((*begin, places, values))
+        self.pos, self.phase = after, (self.phase + 1) % len(self.shape)
+        return True
+
+
+def decode_piece(data: bytes, h: Header, piece: int, pieces: int) -> tuple[list[tuple[int, list[int]]], int]:
+    """(bit and coefficients of blocks, the bit up to which they count) of one of equal pieces of a scan without restarts.
+
+    A piece goes on into the next until it stands where a decoder that began there stands too: from then on both decode alike.
+    """
+    raw, shape = scan_parts(data, h)[0], scan_shape(h)
+    edge = lambda k: 8 * (len(raw) * k // pieces)
+    own, other = Guess(raw, edge(piece), shape), Guess(raw, edge(piece + 1), shape)
+    until = 8 * len(raw)
+    while True:
+        if piece + 1 < pieces and own.pos >= edge(piece + 1):
+            while other.pos < own.pos and other.step():
+                pass
+            if own.state() in other.begins or own.state() == other.state():
+                until = own.pos
+                break
+        if not own.step():
+            break
+    out = []
+    for pos, _, places, values in own.found:
+        if pos < until:
+            block = [0] * 64
+            for k, v in zip(places, values):
+                block[k] = v
+            out.append((pos, block))
+    return out, until
 
 
 def decode_image(data: bytes) -> tuple[Header, np.ndarray, int]:
     """(header, height x width x 3 bytes, number of blocks): all steps fused for one file."""
     from tessera.functions.pixels import np_dezigzag, np_idct, np_rgb, np_wrap16
 
-    h = parse_header(data)
+    h = gated_header(data)
     g = h.geometry()
-    if g["mcu_w_real"] * g["mcu_h_real"] * 64 * 3 > 32 * 1024 * 1024:
-        raise Invalid("decoded size over the limit")
     zz, keys = decode_scan(data, h)
     rows, cols = g["mcu_h_real"], g["mcu_w_real"]
     planes = np.zeros((3, rows * 8, cols * 8), np.int32)

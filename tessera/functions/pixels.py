@@ -6,6 +6,7 @@ Blocks are arrays of 64 integers in row-major order. Shifts are arithmetic.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column
@@ -45,54 +46,87 @@ def _shift(x: Column, n: int) -> Column:
     return F.shiftright(x, n)
 
 
-def _named(**cols: Column) -> Column:
-    return F.struct(*(c.alias(n) for n, c in cols.items()))
-
-
-def idct_1d(x: Sequence[Column]) -> Column:
+# -- the inverse transform ---------------------------------------------------
+#
+# The published AAN transform as three linear steps, of which two truncate: every
+# frequency is scaled; five sums of scaled frequencies are turned by a constant;
+# each half of the outputs is a sum of what the other steps gave. The even half
+# and the odd half make outputs n and 7 - n as their sum and their difference.
+
+
+@dataclass(frozen=True)
+class Accuracy:
+    """Factor and right shift of each frequency's scale and of each turn."""
+
+    scales: tuple[tuple[int, int], ...]
+    turns: tuple[tuple[int, int], ...]
+
+
+ACCURACY = {
+    "high": Accuracy(((181, 5), (251, 5), (59, 3), (213, 5), (181, 5), (71, 4), (49, 4), (25, 4)), ((181, 7), (181, 7), (277, 8), (669, 8), (49, 6))),
+    "low": Accuracy(((22, 2), (31, 2), (30, 2), (27, 2), (22, 2), (18, 2), (12, 2), (6, 2)), ((90, 6), (90, 6), (69, 6), (167, 6), (49, 6))),
+}
+#: The sums that are turned, over scaled frequencies 0 to 7.
+TURNED = (
+    (0, 0, 1, 0, 0, 0, -1, 0),
+    (0, 1, 0, -1, 0, -1, 0, 1),
+    (0, 0, 0, -1, 0, 1, 0, 0),
+    (0, 1, 0, 0, 0, 0, 0, -1),
+    (0, 1, 0, -1, 0, 1, 0, -1),
+)
+#: Halves of the outputs 0 to 3, over the eight scaled frequencies and the five turned sums.
+EVEN = (
+    (1, 0, 1, 0, 1, 0, 1, 0, 0, 0, 0, 0, 0),
+    (1, 0, -1, 0, -1, 0, -1, 0, 1, 0, 0, 0, 0),
+    (1, 0, 1, 0, -1, 0, 1, 0, -1, 0, 0, 0, 0),
+    (1, 0, -1, 0, 1, 0, -1, 0, 0, 0, 0, 0, 0),
+)
+ODD = (
+    (0, 1, 0, 1, 0, 1, 0, 1, 0, 0, 0, 0, 0),
+    (0, -1, 0, -1, 0, -1, 0, -1, 0, 0, 0, 1, -1),
+    (0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, -1, 1),
+    (0, -1, 0, -1, 0, -1, 0, -1, 0, -1, 1, 1, 0),
+)
+#: The scales leave four bits of fraction.
+FRACTION = 4
+
+
+def _weighted(row: Sequence[int], terms: Sequence[Column]) -> Column:
+    """The sum of terms with signs, positive ones first."""
+    signed = sorted(((w, t) for w, t in zip(row, terms) if w), key=lambda x: -x[0])
+    out = signed[0][1]
+    for w, t in signed[1:]:
+        out = out + t if w > 0 else out - t
+    return out
+
+
+def idct_1d(x: Sequence[Column], accuracy: str = "high") -> Column:
     """The eight outputs of one integer inverse transform, as an array."""
-    scaled = _named(
-        g0=_shift(x[0] * 181, 5), g1=_shift(x[4] * 181, 5), g2=_shift(x[2] * 59, 3), g3=_shift(x[6] * 49, 4),
-        g4=_shift(x[5] * 71, 4), g5=_shift(x[1] * 251, 5), g6=_shift(x[7] * 25, 4), g7=_shift(x[3] * 213, 5),
-    )
-
-    def odd(g: Column) -> Column:
-        f = _named(f4=g.g4 - g.g7, f5=g.g5 + g.g6, f6=g.g5 - g.g6, f7=g.g4 + g.g7)
-        return let(f, lambda f: even(g, f))
-
-    def even(g: Column, f: Column) -> Column:
-        d = _named(
-            e3=g.g2 + g.g3, e7=f.f5 + f.f7, d2=_shift((g.g2 - g.g3) * 181, 7), d4=_shift(f.f4 * 277, 8),
-            d5=_shift((f.f5 - f.f7) * 181, 7), d6=_shift(f.f6 * 669, 8), d8=_shift((f.f4 + f.f6) * 49, 6),
-        )
-        return let(d, lambda d: combine(g, d))
+    a = ACCURACY[accuracy]
+    each = lambda array, n: [array[k] for k in range(n)]
+    scaled = F.array(*(_shift(v * m, n) for v, (m, n) in zip(x, a.scales)))
 
-    def combine(g: Column, d: Column) -> Column:
-        c = _named(c0=g.g0 + g.g1, c1=g.g0 - g.g1, c2=d.d2 - d.e3, c4=d.d4 + d.d8, c5=d.d5 + d.e7, c6=d.d6 - d.d8)
-        return let(c, lambda c: merge(d, c))
+    def outputs(known: Column) -> Column:
+        terms = each(known, 13)
+        halves = F.array(*(_weighted(row, terms) for row in (*EVEN, *ODD)))
+        sums = lambda h: [wrap16(_shift(h[k] + h[k + 4], FRACTION)) for k in range(4)] + [wrap16(_shift(h[k] - h[k + 4], FRACTION)) for k in (3, 2, 1, 0)]
+        return let(halves, lambda h: F.array(*sums(h)))
 
-    def merge(d: Column, c: Column) -> Column:
-        b = _named(b0=c.c0 + d.e3, b1=c.c1 + c.c2, b2=c.c1 - c.c2, b3=c.c0 - d.e3, b4=c.c4 - (c.c5 - c.c6), b6=c.c6 - d.e7, c8=c.c5 - c.c6)
-        return let(b, lambda b: out(d, b))
+    turned = lambda s: F.array(*(_shift(_weighted(row, each(s, 8)) * m, n) for row, (m, n) in zip(TURNED, a.turns)))
+    return let(scaled, lambda s: let(F.concat(s, turned(s)), outputs))
 
-    def out(d: Column, b: Column) -> Column:
-        y = (b.b0 + d.e7, b.b1 + b.b6, b.b2 + b.c8, b.b3 + b.b4, b.b3 - b.b4, b.b2 - b.c8, b.b1 - b.b6, b.b0 - d.e7)
-        return F.array(*(wrap16(_shift(v, 4)) for v in y))
 
-    return let(scaled, odd)
-
-
-def idct_pass(block: Column, stride: int) -> Column:
+def idct_pass(block: Column, stride: int, accuracy: str = "high") -> Column:
     """One pass: stride 8 transforms columns, stride 1 rows. The result is in natural order."""
     step = 1 if stride == 8 else 8
-    done = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: idct_1d([F.element_at(block, j * step + stride * i + 1) for i in range(8)]))
+    done = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: idct_1d([F.element_at(block, j * step + stride * i + 1) for i in range(8)], accuracy))
     if stride == 1:
         return F.flatten(done)
     return let(done, lambda a: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.element_at(F.element_at(a, k % 8 + 1), F.shiftright(k, 3) + 1)))
 
 
-def idct_2d(block: Column) -> Column:
-    return let(idct_pass(block, 8), lambda half: idct_pass(half, 1))
+def idct_2d(block: Column, accuracy: str = "high") -> Column:
+    return let(idct_pass(block, 8, accuracy), lambda half: idct_pass(half, 1, accuracy))
 
 
 def clamp(x: Column) -> Column:
@@ -111,6 +145,12 @@ def blue(y: Column, cb: Column) -> Column:
     return clamp(y + _shift(cb * 113, 6) + 128)
 
 
+def rgb_float(y: Column, cb: Column, cr: Column) -> dict[str, Column]:
+    """The colour formula with real factors, halves to the even number."""
+    exact = {"r": y + F.lit(1.402) * cr, "g": y - F.lit(0.344) * cb - F.lit(0.714) * cr, "b": y + F.lit(1.772) * cb}
+    return {name: clamp(F.rint(v + 128)) for name, v in exact.items()}
+
+
 # -- numpy -------------------------------------------------------------------
 
 _PLACE = np.argsort(np.array(ZIGZAG))
@@ -124,25 +164,40 @@ def np_dezigzag(blocks: np.ndarray) -> np.ndarray:
     return blocks[:, _PLACE]
 
 
-def _np_1d(x: np.ndarray) -> np.ndarray:
-    """x: eight rows of inputs, any shape behind."""
-    g0, g1, g2, g3 = x[0] * 181 >> 5, x[4] * 181 >> 5, x[2] * 59 >> 3, x[6] * 49 >> 4
-    g4, g5, g6, g7 = x[5] * 71 >> 4, x[1] * 251 >> 5, x[7] * 25 >> 4, x[3] * 213 >> 5
-    f4, f5, f6, f7 = g4 - g7, g5 + g6, g5 - g6, g4 + g7
-    e3, e7 = g2 + g3, f5 + f7
-    d2, d4, d5 = (g2 - g3) * 181 >> 7, f4 * 277 >> 8, (f5 - f7) * 181 >> 7
-    d6, d8 = f6 * 669 >> 8, (f4 + f6) * 49 >> 6
-    c0, c1, c2, c4, c5, c6 = g0 + g1, g0 - g1, d2 - e3, d4 + d8, d5 + e7, d6 - d8
-    c8 = c5 - c6
-    b0, b1, b2, b3, b4, b6 = c0 + e3, c1 + c2, c1 - c2, c0 - e3, c4 - c8, c6 - e7
-    return np_wrap16(np.stack([b0 + e7, b1 + b6, b2 + c8, b3 + b4, b3 - b4, b2 - c8, b1 - b6, b0 - e7]) >> 4)
+_TURNED, _HALVES = np.array(TURNED, np.float64), np.array(EVEN + ODD, np.float64)
+
 
+def _np_1d(x: np.ndarray, accuracy: str) -> np.ndarray:
+    """x: eight rows of inputs, any shape behind. In floats, whose 53 bits hold all products and sums exactly; a floor is a right shift."""
+    a = ACCURACY[accuracy]
+    factors = lambda pairs: np.array([[m / (1 << n)] for m, n in pairs])
+    known = np.empty((13, x[0].size))
+    np.floor(x.reshape(8, -1) * factors(a.scales), out=known[:8])
+    np.floor(_TURNED @ known[:8] * factors(a.turns), out=known[8:])
+    halves = _HALVES @ known
+    out = np.concatenate([halves[:4] + halves[4:], (halves[:4] - halves[4:])[::-1]])
+    return np_wrap16(np.floor(out / (1 << FRACTION)).astype(np.int32)).reshape(x.shape)
 
-def np_idct(blocks: np.ndarray) -> np.ndarray:
+
+def np_idct(blocks: np.ndarray, accuracy: str = "high") -> np.ndarray:
     """(n, 64) coefficients to (n, 8, 8) samples without the level shift."""
     x = blocks.astype(np.int32).reshape(-1, 8, 8)
-    half = _np_1d(x.transpose(1, 0, 2))  # rows of inputs are block rows: columns are transformed
-    return _np_1d(half.transpose(2, 1, 0)).transpose(1, 2, 0)
+    half = _np_1d(x.transpose(1, 0, 2), accuracy)  # rows of inputs are block rows: columns are transformed
+    return _np_1d(half.transpose(2, 1, 0), accuracy).transpose(1, 2, 0)
+
+
+def sql_idct_1d(accuracy: str = "high") -> tuple[str, str, list[str]]:
+    """SQL of the three steps: s0 to s7 from x0 to x7, t0 to t4 from those, and the eight outputs before the last shift."""
+    a = ACCURACY[accuracy]
+
+    def total(row: Sequence[int]) -> str:
+        names = [f"s{k}" for k in range(8)] + [f"t{k}" for k in range(5)]
+        return " ".join(f"{'+' if w > 0 else '-'} {n}" for w, n in zip(row, names) if w).removeprefix("+ ")
+
+    scaled = ", ".join(f"(x{k} * {m}) >> {n} AS s{k}" for k, (m, n) in enumerate(a.scales))
+    turned = ", ".join(f"(({total(row)}) * {m}) >> {n} AS t{k}" for k, (row, (m, n)) in enumerate(zip(TURNED, a.turns)))
+    pairs = [(total(e), total(o)) for e, o in zip(EVEN, ODD)]
+    return scaled, turned, [f"{e} + ({o})" for e, o in pairs] + [f"{e} - ({o})" for e, o in reversed(pairs)]
 
 
 def np_idct_float(blocks: np.ndarray) -> np.ndarray:

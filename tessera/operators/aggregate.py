@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.schema import CYCLES_PER_SECOND
+from tessera.ship import ship
 
 
 def sum_rgb(pixels: DataFrame, key: str = "image") -> DataFrame:
@@ -18,6 +21,19 @@ def sum_rgb_blocks(blocks: DataFrame, key: str = "image") -> DataFrame:
     return blocks.groupBy(key).agg(of("r"), of("g"), of("b"))
 
 
+def image_sums(images: DataFrame, key: str = "file_index") -> DataFrame:
+    """The same from packed images, each summed where its bytes lie; images without bytes go."""
+    ship(images.sparkSession)
+
+    @F.arrow_udf("struct<sum_r:long,sum_g:long,sum_b:long>")
+    def sums(rgb: pa.Array) -> pa.Array:
+        rows = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 3).sum(0, dtype=np.int64) for x in rgb]
+        cols = np.array(rows, np.int64).reshape(-1, 3).T
+        return pa.StructArray.from_arrays([pa.array(c) for c in cols], ["sum_r", "sum_g", "sum_b"])
+
+    return images.filter("rgb is not null").select(key, sums("rgb").alias("s")).select(key, "s.*")
+
+
 def job_totals(decoded: DataFrame) -> DataFrame:
     """Files, failures, blocks, pixels and seconds of decoded images."""
     ok = F.col("error").isNull()
@@ -34,6 +50,17 @@ def batch_stats(files: DataFrame, slot: str | None = None) -> DataFrame:
     return files.groupBy(slot).agg(*totals) if slot else files.agg(*totals)
 
 
+def stats_lines(decoded: DataFrame, slot: str, cycles: str = "cycles") -> DataFrame:
+    """slot and the text lines of its report: blocks decoded, and the seconds and cycles taken."""
+    total = decoded.groupBy(slot).agg(F.sum("blocks").alias("blocks"), F.sum(cycles).alias("cycles"))
+    name = F.concat(F.lit("["), F.col(slot).cast("string"), F.lit("] "))
+    lines = F.array(
+        F.concat(name, F.format_string("called decode_mcu %d times", "blocks")),
+        F.concat(name, F.format_string("total %.5f (%d cycles)", cycles_to_seconds(F.col("cycles")), "cycles")),
+    )
+    return total.select(slot, F.posexplode(lines).alias("seq", "line"))
+
+
 def observed(decoded: DataFrame, name: str = "decode") -> DataFrame:
     """The same rows, with counters that Spark reports when an action is done."""
     return decoded.observe(name, F.count("*").alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.sum("blocks").alias("blocks"))

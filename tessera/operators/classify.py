@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.pixels import let
@@ -53,6 +53,25 @@ def blob(rgb: np.ndarray, side: int = SIDE) -> np.ndarray:
     return ((out[..., ::-1] - np.array(MEANS)) * SCALE).transpose(2, 0, 1)[None].astype(np.float32)
 
 
+def blobs(images: DataFrame, side: int = SIDE) -> DataFrame:
+    """file_index and the model input of decoded images as one array of 3 x side x side numbers."""
+    ship(images.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                f = batch.slice(k, 1).to_pylist()[0]
+                x = blob(np.frombuffer(f["rgb"], np.uint8).reshape(f["height"], f["width"], 3), side)
+                yield pa.RecordBatch.from_arrays([pa.array([f["file_index"]], pa.int32()), pa.array([x.ravel()], pa.list_(pa.float32()))], ["file_index", "blob"])
+
+    return images.filter("rgb is not null").select("file_index", "width", "height", "rgb").mapInArrow(run, "file_index int, blob array<float>")
+
+
+def load_model(spark: SparkSession, path: str) -> bytes:
+    """The bytes of a model file, read with Spark's readers."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
 def forward(images: DataFrame, model: bytes, side: int = SIDE) -> DataFrame:
     """file_index and logits of decoded images; one session a task. The model is broadcast: its size is the file's."""
     spark = images.sparkSession

@@ -20,9 +20,15 @@ def canonical_codes(table: DataFrame) -> DataFrame:
 
 
 def lookup(windows: DataFrame, codes: DataFrame) -> DataFrame:
-    """Adds symbol and len to windows (tbl, peek); windows that no code begins go. A table has at most 256 codes, four tables an image."""
-    near = F.broadcast(codes.select("tbl", "lo", "hi", "symbol", "len"))
-    return windows.join(near, "tbl").filter(F.col("peek").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    """Adds symbol and len to windows (tbl, peek); windows that no code begins go.
+
+    Codes are told by the first eight bits of the windows they begin: a code of up to eight bits has each of its bytes alone, so only
+    longer codes that share a byte are compared. Spark broadcasts the codes where their size allows.
+    """
+    byte = F.explode(F.sequence(F.shiftright("lo", 8), F.shiftright("hi", 8)))
+    near = codes.select("tbl", "lo", "hi", "symbol", "len", byte.alias("_byte"))
+    keyed = windows.withColumn("_byte", F.shiftright(F.col("peek").cast("int"), 8))
+    return keyed.join(near, ["tbl", "_byte"]).filter(F.col("peek").between(F.col("lo"), F.col("hi"))).drop("lo", "hi", "_byte")
 
 
 def run_positions(runs: DataFrame, key: str, order: str) -> DataFrame:

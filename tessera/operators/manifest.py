@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.schema import MAX_FILE
+from tessera.ship import ship
 
 
 def slot_assign(files: DataFrame, slots: int, limit: int = MAX_FILE) -> DataFrame:
@@ -36,8 +40,37 @@ def _ranked(files: DataFrame, parts: int = 1024) -> DataFrame:
     return within.join(F.broadcast(starts), "_part").withColumn("rank", F.col("_start") + F.col("_at") - 1).drop("_part", "_at", "_start")
 
 
+PACKED = "file_index long, length long, rank long, batch long, slot int, place int, start long"
+
+
 def bin_packing(files: DataFrame, slots: int, per_slot: int = 1, limit: int = MAX_FILE) -> DataFrame:
-    """batch of each assignment: a slot's files are cut into batches of at most per_slot files and less than ``limit`` bytes if files are of equal size."""
-    dealt = slot_assign(files, slots, limit)
-    at = F.row_number().over(Window.partitionBy("slot").orderBy("round")) - 1
-    return dealt.withColumn("batch", F.floor(at / per_slot).cast("int"))
+    """batch, slot, place in the slot and start byte of each file, as a serial packer deals them.
+
+    Files over the limit are left out. The others go to the slots in turn; where the slot whose turn it is holds ``per_slot`` files,
+    or would not stay under ``limit`` bytes, the batch is closed and the next begins with its first slot. A file that fills a slot
+    alone to the limit can't be dealt and gets no batch, but closes one. What comes before decides each step, so the numbers of the
+    files, two for each, pass one task in order; its memory is that of the slots.
+    """
+    ship(files.sparkSession)
+    names = [f.split()[0] for f in PACKED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, filled = [0] * slots, [0] * slots
+        batch_no = turn = rank = 0
+        for rows in batches:
+            out = []
+            for index, length in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                if (held[turn] == per_slot or filled[turn] + length >= limit) and any(held):
+                    held, filled, turn, batch_no = [0] * slots, [0] * slots, 0, batch_no + 1
+                if length >= limit:
+                    out.append((index, length, rank, None, None, None, None))
+                else:
+                    out.append((index, length, rank, batch_no, turn, held[turn], filled[turn]))
+                    held[turn], filled[turn] = held[turn] + 1, filled[turn] + length
+                    turn = (turn + 1) % slots
+                rank += 1
+            types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names)
+
+    kept = files.filter(F.col("length") <= limit).select(F.col("file_index").cast("long").alias("file_index"), F.col("length").cast("long").alias("length"))
+    return kept.repartition(1).sortWithinPartitions("file_index").mapInArrow(run, PACKED)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.ship import ship
@@ -28,17 +28,22 @@ def outputs(df: DataFrame) -> DataFrame:
 def match_references(out: DataFrame, refs: DataFrame) -> DataFrame:
     """out_path, ref_path: for each output the reference whose name starts with its stem.
 
-    The exact stem comes first, then the shortest, then the first name. Every
-    prefix that ends where a name could be cut is a key, so the join is on equal
+    The exact stem comes first, then the shortest, then the first name. Names
+    and, where no name fits, their prefixes are keys, so joins are on equal
     values; the directory is part of the name.
     """
     left = out.select(F.col("path").alias("out_path"), stem(F.col("path")).alias("stem"))
     folder = F.length(F.regexp_extract("ref_path", r"^(.*/)?", 1))
     names = refs.select(F.col("path").alias("ref_path")).filter(F.col("ref_path").rlike(REFERENCE))
-    keys = names.withColumn("n", F.explode(F.sequence(folder + 1, F.length("ref_path")))).select("ref_path", F.expr("substring(ref_path, 1, n)").alias("stem"))
-    exact = F.regexp_replace("ref_path", REFERENCE, "") == F.col("stem")
-    best = Window.partitionBy("out_path").orderBy(exact.desc_nulls_last(), F.length("ref_path"), "ref_path")
-    return left.join(keys, "stem", "left").withColumn("_at", F.row_number().over(best)).filter("_at = 1").select("out_path", "ref_path")
+    first = F.min(F.struct(F.length("ref_path").alias("n"), "ref_path"))
+    whole = names.groupBy(F.regexp_replace("ref_path", REFERENCE, "").alias("stem")).agg(first.alias("r"))
+    exact = left.join(whole, "stem", "left")
+    # Prefixes are made only for outputs that no whole name fits.
+    rest = exact.filter("r is null").select("out_path", "stem")
+    prefixes = names.withColumn("n", F.explode(F.sequence(folder + 1, F.length("ref_path")))).select("ref_path", F.expr("substring(ref_path, 1, n)").alias("stem"))
+    near = prefixes.join(rest.select("stem").distinct(), "stem").groupBy("stem").agg(first.alias("r"))
+    found = exact.filter("r is not null").select("out_path", "r").unionByName(rest.join(near, "stem", "left").select("out_path", "r"))
+    return found.select("out_path", F.col("r.ref_path").alias("ref_path"))
 
 
 def missing_references(out: DataFrame, refs: DataFrame) -> DataFrame:
@@ -51,10 +56,13 @@ def psnr(mse: Column) -> Column:
 
 
 def psnr_channels(a: DataFrame, b: DataFrame, key: str = "image") -> DataFrame:
-    """PSNR per channel of two pixel tables, and their mean; squares are summed as integers."""
-    other = b.select(key, "y", "x", *(F.col(c).alias(f"{c}2") for c in ("r", "g", "b")))
-    diffs = a.join(other, [key, "y", "x"]).groupBy(key).agg(F.count("*").alias("n"), *(F.sum((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2"))).alias(f"s_{c}") for c in ("r", "g", "b")))
-    out = diffs.select(key, *(psnr(F.col(f"s_{c}").cast("double") / F.col("n")).alias(f"psnr_{c}") for c in ("r", "g", "b")))
+    """PSNR per channel of two tables of blocks (brow, bcol and r, g, b arrays of 64), and their mean; squares are summed as integers, within a block first."""
+    channels = ("r", "g", "b")
+    other = b.select(key, "brow", "bcol", *(F.col(c).alias(f"{c}2") for c in channels))
+    square = lambda c: F.aggregate(F.zip_with(c, f"{c}2", lambda x, y: ((x - y) * (x - y)).cast("long")), F.lit(0).cast("long"), lambda t, v: t + v)
+    diffs = a.join(other, [key, "brow", "bcol"]).select(key, F.size("r").alias("n"), *(square(c).alias(f"s_{c}") for c in channels))
+    sums = diffs.groupBy(key).agg(F.sum("n").alias("n"), *(F.sum(f"s_{c}").alias(f"s_{c}") for c in channels))
+    out = sums.select(key, *(psnr(F.col(f"s_{c}").cast("double") / F.col("n")).alias(f"psnr_{c}") for c in channels))
     return out.withColumn("psnr", (F.col("psnr_r") + F.col("psnr_g") + F.col("psnr_b")) / 3)
 
 
@@ -63,9 +71,18 @@ def corrupted(mean_psnr: Column, mean_ssim: Column | None = None, least_psnr: fl
     return low if mean_ssim is None else low | (mean_ssim < least_ssim)
 
 
+#: Rec. 601 weights in 16-bit fixed point.
+LUMA = (19595, 38470, 7471)
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     """Rec. 601 grey of RGB, in 16-bit fixed point."""
-    return F.shiftright(r * 19595 + g * 38470 + b * 7471 + 0x8000, 16)
+    return F.shiftright(sum((x * w for x, w in zip((g, b), LUMA[1:])), r * LUMA[0]) + 0x8000, 16)
+
+
+def np_luma(rgb: np.ndarray) -> np.ndarray:
+    """The same of an array whose last axis is R, G, B."""
+    return rgb.astype(np.int64) @ np.array(LUMA) + 0x8000 >> 16
 
 
 # -- numpy -------------------------------------------------------------------
@@ -134,7 +151,7 @@ def score(pairs: DataFrame, least_psnr: float = PSNR_FLOOR, least_ssim: float =
             return (*[None] * 8, "size mismatch")
         a, b = (np.frombuffer(x, np.uint8).reshape(p["height"], p["width"], -1) for x in (p["rgb"], p["ref_rgb"]))
         if p["ref_mode"] == "L":
-            grey = (a[..., 0] * 19595 + a[..., 1] * 38470 + a[..., 2] * 7471 + 0x8000 >> 16) if a.shape[2] == 3 else a[..., 0]
+            grey = np_luma(a) if a.shape[2] == 3 else a[..., 0]
             planes = [(grey, b[..., 0])] * 3
         elif a.shape != b.shape:
             return (*[None] * 8, "shape mismatch")

@@ -1,4 +1,4 @@
-"""A baseline JPEG encoder for tests: it writes given coefficient blocks, with options for what decoders must bear."""
+"""A baseline JPEG encoder for queries and tests: it writes given coefficient blocks, with options for what decoders must bear."""
 
 from __future__ import annotations
 
@@ -17,6 +17,18 @@ def canonical_table(symbols: list[int]) -> tuple[list[int], list[int]]:
     return counts, symbols
 
 
+def skewed_table(symbols: list[int]) -> tuple[list[int], list[int]]:
+    """Codes of all lengths up to 16: each length takes half of the room that is left until the rest fits into the last."""
+    counts, left, room = [0] * 16, len(symbols), 1 << 16
+    for length in range(1, 16):
+        size = 1 << 16 - length
+        # The rest must fit into codes of 16 bits, of which the last stays free.
+        while left and room - size > left - 1 and counts[length - 1] < max(1, left // 8) and length > 1:
+            counts[length - 1], left, room = counts[length - 1] + 1, left - 1, room - size
+    counts[15] = left
+    return counts, symbols
+
+
 DC_TABLE = canonical_table(list(range(12)))
 AC_TABLE = canonical_table([r << 4 | s for r in range(16) for s in range(1, 11)] + [0x00, 0xF0])
 
@@ -70,22 +82,23 @@ def segment(code: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, code, len(body) + 2) + body
 
 
-def encode(width, height, comps, blocks, quants=None, interval=0, wide_tables=False, extra=b"", fill=b"", end=True, joined=False):
+def encode(width, height, comps, blocks, quants=None, interval=0, wide_tables=False, extra=b"", fill=b"", end=True, joined=False, tables=None):
     """comps: (id, h, v) each; blocks: {(comp, brow, bcol): 64 coefficients in natural order}; quants: natural order by component."""
+    dc_table, ac_table = tables or (DC_TABLE, AC_TABLE)
     quants = quants or [[1] * 64 for _ in comps]
     max_h, max_v = max(c[1] for c in comps), max(c[2] for c in comps)
     w, h = -(-width // 8), -(-height // 8)
     across, down = -(-w // max_h), -(-h // max_v)
     out = [b"\xff\xd8", extra]
-    tables = [bytes([(16 if wide_tables else 0) | k]) + struct.pack(">64H" if wide_tables else ">64B", *(q[n] for n in ZIGZAG)) for k, q in enumerate(quants)]
-    out += [segment(0xDB, b"".join(tables))] if joined else [segment(0xDB, t) for t in tables]
+    qts = [bytes([(16 if wide_tables else 0) | k]) + struct.pack(">64H" if wide_tables else ">64B", *(q[n] for n in ZIGZAG)) for k, q in enumerate(quants)]
+    out += [segment(0xDB, b"".join(qts))] if joined else [segment(0xDB, t) for t in qts]
     out.append(segment(0xC0, struct.pack(">BHHB", 8, height, width, len(comps)) + b"".join(bytes([i, a << 4 | b, k]) for k, (i, a, b) in enumerate(comps))))
-    hts = [bytes([kind << 4]) + bytes(t[0]) + bytes(t[1]) for kind, t in ((0, DC_TABLE), (1, AC_TABLE))]
+    hts = [bytes([kind << 4]) + bytes(t[0]) + bytes(t[1]) for kind, t in ((0, dc_table), (1, ac_table))]
     out += [segment(0xC4, b"".join(hts))] if joined else [segment(0xC4, t) for t in hts]
     if interval:
         out.append(segment(0xDD, struct.pack(">H", interval)))
     out.append(segment(0xDA, bytes([len(comps)]) + b"".join(bytes([i, 0]) for i, _, _ in comps) + bytes([0, 63, 0])))
-    dc, ac = codes(DC_TABLE), codes(AC_TABLE)
+    dc, ac = codes(dc_table), codes(ac_table)
     bits, before = Bits(), [0] * len(comps)
     for mcu in range(across * down):
         if interval and mcu and mcu % interval == 0:

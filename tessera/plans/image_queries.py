@@ -130,7 +130,28 @@ def idct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(T.with_(IDCT) + f"SELECT {T.as_long('vec_id', 'k', 'c')} FROM whole")
 def idct_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.exploded(T.blocks(spark, sf_dir).withColumn("c", P.idct_2d(F.col("c"))))
+    return T.exploded(decode.transformed(T.blocks(spark, sf_dir), "c", "c"))
+
+
+@query(T.with_(T.CB, T.idct_pass("half", "cb", 8, "low"), T.idct_pass("whole", "half", 1, "low")) + f"SELECT {T.as_long('vec_id', 'k', 'c')} FROM whole")
+def idct_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The less accurate factors, with Column expressions only."""
+    return T.exploded(T.blocks(spark, sf_dir).withColumn("c", P.idct_2d(F.col("c"), "low")))
+
+
+# Each pass of the exact transform is a sum over cosines.
+COSINES = "w AS (SELECT n.range AS n, f.range AS f, cos((2 * n.range + 1) * f.range * pi() / 16) * CASE WHEN f.range = 0 THEN sqrt(1.0 / 8) ELSE 0.5 END AS w FROM range(8) n, range(8) f)"
+
+
+@query(
+    T.with_(
+        T.CB, COSINES, "fh AS (SELECT vec_id, w.n AS n, k % 8 AS j, sum(c * w) AS h FROM cb JOIN w ON w.f = k // 8 GROUP BY ALL)",
+        "fw AS (SELECT vec_id, fh.n * 8 + w.n AS k, sum(h * w) AS c FROM fh JOIN w ON w.f = j GROUP BY ALL)",
+    )
+    + "SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(k AS BIGINT) AS k, round(c, 4) AS c FROM fw"
+)
+def idct_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.exploded(decode.transformed_exactly(T.blocks(spark, sf_dir), "c", "c")).withColumn("c", F.round("c", 4))
 
 
 def _rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +167,21 @@ def ycbcr_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pixels(spark, sf_dir)
 
 
+FLOAT_RGB = {"r": "y + 1.402e0 * cr", "g": "y - 0.344e0 * cb - 0.714e0 * cr", "b": "y + 1.772e0 * cb"}
+
+
+@query(T.with_(T.CB, T.units()) + "SELECT CAST(image AS BIGINT) AS image, CAST(brow AS BIGINT) AS brow, CAST(bcol AS BIGINT) AS bcol, CAST(k AS BIGINT) AS k, " + ", ".join(f"CAST({T.clamp(f'round_even({e} + 128, 0)')} AS BIGINT) AS {c}" for c, e in FLOAT_RGB.items()) + " FROM u")
+def rgb_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour formula with real factors."""
+    long = T.image_blocks(spark, sf_dir).select("image", "brow", "bcol", F.posexplode(F.arrays_zip("y", "cb", "cr")).alias("k", "p")).select("image", "brow", "bcol", "k", "p.*")
+    return long.select("image", "brow", "bcol", "k", *(x.cast("long").alias(c) for c, x in P.rgb_float(F.col("y"), F.col("cb"), F.col("cr")).items()))
+
+
+@query(T.with_(*RAW_PIXELS) + "SELECT CAST(image AS BIGINT) AS image, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST((r * 19595 + g * 38470 + b * 7471 + 32768) >> 16 AS BIGINT) AS l FROM px")
+def luma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pixels(spark, sf_dir).select("image", "y", "x", quality.luma(*map(F.col, CHANNELS)).alias("l"))
+
+
 @query(
     T.with_(
         T.CB, T.units(),
@@ -169,7 +205,7 @@ SUMS = "SELECT CAST(image AS BIGINT) AS image, " + ", ".join(f"CAST(sum({c}) AS
 @query(T.with_(IDCT, T.units("whole"), T.rgb()) + SUMS.format("rgb"))
 def decode_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks to samples, samples to colour, colour to sums by image."""
-    samples = T.blocks(spark, sf_dir).withColumn("c", P.idct_2d(F.col("c")))
+    samples = decode.transformed(T.blocks(spark, sf_dir), "c", "c")
     return aggregate.sum_rgb_blocks(decode.colour(T.image_blocks(spark, sf_dir, df=samples)))
 
 
@@ -269,9 +305,10 @@ MSE = (
 
 
 def _psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _pixels(spark, sf_dir)
-    change = ((F.col("x") * 7 + F.col("y") * 3) % 5 + 1) * (1 + F.col("image") % 12)
-    b = a.select("image", "y", "x", *(P.clamp(F.col(c) + change).alias(c) for c in CHANNELS))
+    a = _rgb(spark, sf_dir)
+    y, x = (lambda k: F.col("brow") * 8 + F.shiftright(k, 3)), (lambda k: F.col("bcol") * 8 + k % 8)
+    change = lambda k: ((x(k) * 7 + y(k) * 3) % 5 + 1) * (1 + F.col("image") % 12)
+    b = a.select("image", "brow", "bcol", *(F.transform(c, lambda v, k: P.clamp(v + change(k))).alias(c) for c in CHANNELS))
     return quality.psnr_channels(a, b)
 
 
@@ -308,7 +345,7 @@ def jpegs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.functions.fixture_jpeg import encode
+        from tessera.plans.fixture_jpeg import encode
 
         for batch in batches:
             files = []
@@ -352,11 +389,8 @@ def jpeg_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(JPEG_SUMS)
 def jpeg_decode_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the fused decoder; bytes are unpacked with functions of Spark."""
-    byte = lambda k: F.conv(F.hex(F.substring("rgb", k, 1)), 16, 10).cast("int")
-    places = decode.decode(jpegs(spark, sf_dir)).filter("error is null").select(F.col("file_index").alias("image"), "rgb", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("k"))
-    pixels = places.select("image", *(byte(F.col("k") * 3 + n + 1).alias(c) for n, c in enumerate(CHANNELS)))
-    return aggregate.sum_rgb(pixels)
+    """The same by the fused decoder."""
+    return aggregate.image_sums(decode.decode(jpegs(spark, sf_dir))).withColumnRenamed("file_index", "image")
 
 
 @query(T.with_(T.CB, T.units()) + "SELECT DISTINCT CAST(image AS BIGINT) AS image, TRUE AS valid, CAST(32 AS BIGINT) AS width, CAST(16 AS BIGINT) AS height, CAST(3 AS BIGINT) AS n_comp, CAST(4 AS BIGINT) AS restart_interval, CAST(4 AS BIGINT) AS mcu_w, CAST(2 AS BIGINT) AS mcu_h FROM u")
@@ -365,11 +399,6 @@ def header_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.select(F.col("file_index").alias("image"), "valid", "width", "height", "n_comp", "restart_interval", "mcu_w", "mcu_h")
 
 
-@query()
-def marker_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.marker_table(jpegs(spark, sf_dir))
-
-
 @query(T.with_(T.CB, T.units()) + "SELECT DISTINCT CAST(image AS BIGINT) AS image, CAST(32 AS BIGINT) AS width, CAST(16 AS BIGINT) AS height, TRUE AS same FROM u")
 def bmp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images written as bitmaps and read again."""

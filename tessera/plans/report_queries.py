@@ -47,12 +47,13 @@ def manifest_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    T.with_(FILES, "few AS (SELECT * FROM f WHERE file_index < 50)", "last AS (SELECT * FROM few ORDER BY file_index DESC LIMIT 1)", "n AS (SELECT count(*) AS n FROM few)")
-    + "SELECT * FROM few UNION ALL SELECT CAST(file_index + t.range AS BIGINT), path, length FROM last, n, range(1, 129) t WHERE t.range <= 128 - n"
+    T.with_(FILES, "last AS (SELECT * FROM f ORDER BY file_index DESC LIMIT 1)", "n AS (SELECT count(*) AS n FROM f)")
+    + "SELECT * FROM f UNION ALL SELECT CAST(file_index + t.range AS BIGINT), path, length FROM last, n, range(1, 129) t"
 )
 def manifest_replicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A list of fewer files than asked for: the last is repeated."""
-    return files.replicate(_files(spark, sf_dir).filter("file_index < 50"), 128)
+    """128 files more than the list has: the last is repeated."""
+    every = _files(spark, sf_dir)
+    return files.replicate(every, every.count() + 128)
 
 
 @query(T.with_(FILES) + r"SELECT file_index, regexp_replace(path, '\.[^./]*$', '') || '-cpu.bmp' AS name FROM f")
@@ -71,14 +72,42 @@ def slot_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.slot_assign(_files(spark, sf_dir), 64, GATE)
 
 
+LIMIT, PER_SLOT, SLOT_COUNT = 6000, 3, 8
+
+
+@query(
+    f"""WITH RECURSIVE {FILES},
+l AS (SELECT file_index, length, row_number() OVER (ORDER BY file_index) - 1 AS rank FROM f WHERE length <= {LIMIT}),
+dealt AS (
+  SELECT CAST(-1 AS BIGINT) AS rank, CAST(-1 AS BIGINT) AS file_index, CAST(0 AS BIGINT) AS length, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS start,
+    CAST(0 AS BIGINT) AS turn, list_transform(range({SLOT_COUNT}), lambda x: CAST(0 AS BIGINT)) AS held, list_transform(range({SLOT_COUNT}), lambda x: CAST(0 AS BIGINT)) AS filled
+  UNION ALL
+  SELECT l.rank, l.file_index, l.length, c.batch, CASE WHEN fits THEN c.turn END, CASE WHEN fits THEN c.held[c.turn + 1] END, CASE WHEN fits THEN c.filled[c.turn + 1] END,
+    CASE WHEN fits THEN (c.turn + 1) % {SLOT_COUNT} ELSE c.turn END,
+    CASE WHEN fits THEN list_transform(c.held, lambda x, i: CASE WHEN i = c.turn + 1 THEN x + 1 ELSE x END) ELSE c.held END,
+    CASE WHEN fits THEN list_transform(c.filled, lambda x, i: CASE WHEN i = c.turn + 1 THEN x + l.length ELSE x END) ELSE c.filled END
+  FROM (SELECT rank, l0.length < {LIMIT} AS fits, closes, batch + CAST(closes AS BIGINT) AS batch, CASE WHEN closes THEN 0 ELSE turn END AS turn,
+      CASE WHEN closes THEN list_transform(held, lambda x: CAST(0 AS BIGINT)) ELSE held END AS held, CASE WHEN closes THEN list_transform(filled, lambda x: CAST(0 AS BIGINT)) ELSE filled END AS filled
+    FROM (SELECT d.*, l1.length AS next_length, (held[turn + 1] = {PER_SLOT} OR filled[turn + 1] + l1.length >= {LIMIT}) AND list_sum(held) > 0 AS closes FROM dealt d JOIN l l1 ON l1.rank = d.rank + 1) s
+    JOIN (SELECT rank AS r0, length FROM l) l0 ON l0.r0 = s.rank + 1) c JOIN l ON l.rank = c.rank + 1
+)
+SELECT file_index, length, rank, CASE WHEN slot IS NOT NULL THEN batch END AS batch, slot, place, start FROM dealt WHERE rank >= 0"""
+)
+def bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files dealt to slots with caps on their number and their bytes."""
+    return manifest.bin_packing(_files(spark, sf_dir), SLOT_COUNT, PER_SLOT, LIMIT)
+
+
 @query(T.with_(FILES, SLOTS) + "SELECT CAST(slot AS BIGINT) AS slot, count(*) AS n_files, CAST(sum(length) AS BIGINT) AS total_bytes, max(length) AS max_bytes FROM dealt GROUP BY slot")
 def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.batch_stats(manifest.slot_assign(_files(spark, sf_dir), 64, GATE), "slot")
 
 
 PAIRS = (
-    "o AS (SELECT 'd.1/img' || doc_id || '-cpu.bmp' AS out_path, 'd.1/img' || doc_id AS stem FROM documents WHERE doc_id % 3 = 0),\n"
-    "r AS (SELECT 'd.1/img' || doc_id || CASE WHEN doc_id % 4 = 0 THEN '.JPEG' ELSE '.png' END AS ref_path FROM documents WHERE doc_id % 2 = 0),\n"
+    "o AS (SELECT 'd.1/img' || doc_id || '-cpu.bmp' AS out_path, 'd.1/img' || doc_id AS stem FROM documents),\n"
+    "n AS (SELECT 'd.1/img' || doc_id || CASE lang WHEN 'en' THEN '.JPEG' WHEN 'de' THEN 'b.png' WHEN 'fr' THEN '.gif' ELSE '.png' END AS ref_path FROM documents),\n"
+    r"r AS (SELECT ref_path FROM n WHERE regexp_matches(ref_path, '(?i)\.(jpg|jpeg|png)$')),"
+    "\n"
     r"j AS (SELECT out_path, ref_path, row_number() OVER (PARTITION BY out_path ORDER BY CASE WHEN regexp_replace(ref_path, '\.[^.]*$', '') = stem THEN 0 ELSE 1 END, length(ref_path), ref_path) AS at_"
     " FROM o LEFT JOIN r ON starts_with(ref_path, stem))"
 )
@@ -86,9 +115,9 @@ PAIRS = (
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     name = F.concat(F.lit("d.1/img"), F.col("doc_id"))
-    docs = T.read(spark, sf_dir, "documents").select("doc_id")
-    out = docs.filter("doc_id % 3 = 0").select(F.concat(name, F.lit("-cpu.bmp")).alias("path"))
-    return quality.outputs(out), docs.filter("doc_id % 2 = 0").select(F.concat(name, F.when(F.col("doc_id") % 4 == 0, ".JPEG").otherwise(".png")).alias("path"))
+    docs = T.read(spark, sf_dir, "documents").select("doc_id", "lang")
+    ending = F.when(F.col("lang") == "en", ".JPEG").when(F.col("lang") == "de", "b.png").when(F.col("lang") == "fr", ".gif").otherwise(".png")
+    return quality.outputs(docs.select(F.concat(name, F.lit("-cpu.bmp")).alias("path"))), docs.select(F.concat(name, ending).alias("path"))
 
 
 @query(T.with_(PAIRS) + "SELECT out_path, ref_path FROM j WHERE at_ = 1")
@@ -116,7 +145,7 @@ def timing_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.select("user_id", "event_type", F.round("share", 6).alias("share"))
 
 
-WIDE = ("view", "click", "purchase")
+WIDE = ("view", "click", "purchase", "signup", "error")
 
 
 @query(
@@ -154,11 +183,11 @@ def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     T.with_(LOGITS, "p AS (SELECT vec_id, class_id, 100 * exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS prob, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, class_id) AS at_ FROM x)")
-    + "SELECT vec_id, CAST(class_id AS BIGINT) AS class_id, round(prob, 6) AS prob, n_name AS name FROM p LEFT JOIN nation ON n_nationkey = class_id WHERE at_ = 1"
+    + "SELECT vec_id, CAST(class_id AS BIGINT) AS class_id, round(prob, 6) AS prob, n_name AS name, coalesce(n_name, 'null') || ', ' || printf('%.3f', prob) AS label FROM p LEFT JOIN nation ON n_nationkey = class_id WHERE at_ = 1"
 )
 def softmax_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first class among the largest, with its name where there is one."""
     logits = F.transform("embedding", lambda x: x.cast("double"))
     top = T.read(spark, sf_dir, "embeddings").select("vec_id", classify.top_class(logits).alias("t")).select("vec_id", "t.class_id", "t.prob")
     names = T.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("class_id"), F.col("n_name").alias("name"))
-    return classify.label(top, names).select("vec_id", "class_id", F.round("prob", 6).alias("prob"), "name")
+    return classify.label(top, names).select("vec_id", "class_id", F.round("prob", 6).alias("prob"), "name", "label")

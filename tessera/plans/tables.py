@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.pixels import FRACTION, sql_idct_1d
 from tessera.schema import ZIGZAG
 
 
@@ -28,15 +29,14 @@ def exploded(df: DataFrame, column: str = "c", *keys: str) -> DataFrame:
 
 
 def image_blocks(spark: SparkSession, sf_dir: str, column: str = "c", df: DataFrame | None = None) -> DataFrame:
-    """image, brow, bcol and arrays y, cb, cr: three vectors a unit, eight units an image of 32 x 16; incomplete images go."""
+    """image, brow, bcol and arrays y, cb, cr: three vectors a unit, eight units an image of 32 x 16; what the last image lacks is zero."""
     df = blocks(spark, sf_dir) if df is None else df
-    comp = lambda n: F.max(F.when(F.col("vec_id") % 3 == n, F.col(column)))
-    units = df.groupBy(F.floor(F.col("vec_id") / 3).alias("mcu")).agg(comp(0).alias("y"), comp(1).alias("cb"), comp(2).alias("cr"))
-    units = units.filter("y is not null and cb is not null and cr is not null").withColumn("image", F.floor(F.col("mcu") / 8))
-    whole = F.count("*").over(Window.partitionBy("image"))
-    at = F.col("mcu") % 8
-    units = units.withColumn("_n", whole).filter("_n = 8")
-    return units.select("image", F.floor(at / 4).cast("int").alias("brow"), (at % 4).cast("int").alias("bcol"), "y", "cb", "cr")
+    own = F.struct((F.col("vec_id") % 24).cast("int").alias("at"), F.col(column).alias("px"))
+    # At most 24 vectors a group.
+    images = df.groupBy(F.floor(F.col("vec_id") / 24).alias("image")).agg(F.map_from_entries(F.collect_list(own)).alias("held"))
+    units = images.select("image", "held", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("at"))
+    comp = lambda n: F.coalesce(F.try_element_at("held", F.col("at") * 3 + n), F.array_repeat(F.lit(0), 64))
+    return units.select("image", F.floor(F.col("at") / 4).cast("int").alias("brow"), (F.col("at") % 4).alias("bcol"), comp(0).alias("y"), comp(1).alias("cb"), comp(2).alias("cr"))
 
 
 # -- SQL ---------------------------------------------------------------------
@@ -59,32 +59,22 @@ def clamp(x: str) -> str:
 
 def units(src: str = "cb") -> str:
     """Long form of image_blocks: u(image, brow, bcol, k, y, cb, cr)."""
-    return f"""u0 AS (SELECT vec_id // 3 AS mcu, k, max(CASE WHEN vec_id % 3 = 0 THEN c END) AS y, max(CASE WHEN vec_id % 3 = 1 THEN c END) AS cb,
-  max(CASE WHEN vec_id % 3 = 2 THEN c END) AS cr, count(*) AS n FROM {src} GROUP BY ALL),
-u1 AS (SELECT *, mcu // 8 AS image, count(*) OVER (PARTITION BY mcu // 8, k) AS n_units FROM u0 WHERE n = 3),
-u AS (SELECT image, (mcu % 8) // 4 AS brow, mcu % 4 AS bcol, k, y, cb, cr FROM u1 WHERE n_units = 8)"""
-
-
-def idct_pass(name: str, src: str, stride: int) -> str:
-    """name(vec_id, k, c): one pass of the integer transform, a table a step."""
-    i, j = ("k // 8", "k % 8") if stride == 8 else ("k % 8", "k // 8")
-    steps = [
-        f"SELECT vec_id, {j} AS j, " + ", ".join(f"max(CASE WHEN {i} = {n} THEN c END) AS x{n}" for n in range(8)) + f" FROM {src} GROUP BY ALL",
-        "SELECT vec_id, j, (x0*181)>>5 AS g0, (x4*181)>>5 AS g1, (x2*59)>>3 AS g2, (x6*49)>>4 AS g3, (x5*71)>>4 AS g4, (x1*251)>>5 AS g5, (x7*25)>>4 AS g6, (x3*213)>>5 AS g7 FROM {0}",
-        "SELECT *, g4-g7 AS f4, g5+g6 AS f5, g5-g6 AS f6, g4+g7 AS f7, g2-g3 AS e2, g2+g3 AS e3 FROM {0}",
-        "SELECT *, f5-f7 AS e5, f5+f7 AS e7, f4+f6 AS e8 FROM {0}",
-        "SELECT *, (e2*181)>>7 AS d2, (f4*277)>>8 AS d4, (e5*181)>>7 AS d5, (f6*669)>>8 AS d6, (e8*49)>>6 AS d8 FROM {0}",
-        "SELECT *, g0+g1 AS c0, g0-g1 AS c1, d2-e3 AS c2, d4+d8 AS c4, d5+e7 AS c5, d6-d8 AS c6 FROM {0}",
-        "SELECT *, c5-c6 AS c8, c0+e3 AS b0, c1+c2 AS b1, c1-c2 AS b2, c0-e3 AS b3, c4-(c5-c6) AS b4, c6-e7 AS b6 FROM {0}",
-        "SELECT vec_id, j, unnest([b0+e7, b1+b6, b2+c8, b3+b4, b3-b4, b2-c8, b1-b6, b0-e7]) AS o, unnest([0,1,2,3,4,5,6,7]) AS n FROM {0}",
-    ]
-    out, before = [], ""
-    for s, text in enumerate(steps):
-        out.append(f"{name}_{s} AS ({text.format(before)})")
-        before = f"{name}_{s}"
+    comps = " ".join(f"LEFT JOIN {src} c{n} ON c{n}.vec_id = image * 24 + a.range * 3 + {n} AND c{n}.k = p.range" for n in range(3))
+    return f"""u AS (SELECT image, a.range // 4 AS brow, a.range % 4 AS bcol, p.range AS k, coalesce(c0.c, 0) AS y, coalesce(c1.c, 0) AS cb, coalesce(c2.c, 0) AS cr
+  FROM (SELECT DISTINCT vec_id // 24 AS image FROM {src}) i CROSS JOIN range(8) a CROSS JOIN range(64) p {comps})"""
+
+
+def idct_pass(name: str, src: str, stride: int, accuracy: str = "high") -> str:
+    """name(vec_id, k, c): one pass of the integer transform over the lines j of a block, a table a step."""
+    at, line = ("k // 8", "k % 8") if stride == 8 else ("k % 8", "k // 8")
     place = "n * 8 + j" if stride == 8 else "j * 8 + n"
-    out.append(f"{name} AS (SELECT vec_id, {place} AS k, {wrap('o >> 4')} AS c FROM {before})")
-    return ",\n".join(out)
+    inputs = ", ".join(f"max(CASE WHEN {at} = {n} THEN c END) AS x{n}" for n in range(8))
+    scaled, turned, outputs = sql_idct_1d(accuracy)
+    return f"""{name}_x AS (SELECT vec_id, {line} AS j, {inputs} FROM {src} GROUP BY ALL),
+{name}_s AS (SELECT vec_id, j, {scaled} FROM {name}_x),
+{name}_t AS (SELECT *, {turned} FROM {name}_s),
+{name}_o AS (SELECT vec_id, j, unnest([{", ".join(outputs)}]) AS o, unnest(range(8)) AS n FROM {name}_t),
+{name} AS (SELECT vec_id, {place} AS k, {wrap(f"o >> {FRACTION}")} AS c FROM {name}_o)"""
 
 
 def rgb(src: str = "u", name: str = "rgb") -> str:

@@ -19,10 +19,10 @@ TABLE = "struct<counts:array<int>,symbols:array<int>>"
 HEADER = (
     "file_index int, path string, valid boolean, error string, width int, height int, n_comp int, restart_interval int, ss int, se int, ah int, al int, "
     f"comps array<{COMPONENT}>, qt map<int,array<int>>, dc_ht map<int,{TABLE}>, ac_ht map<int,{TABLE}>, "
-    "mcu_w int, mcu_h int, mcu_w_real int, mcu_h_real int, max_h int, max_v int, bmp_padding int, data_start int, warnings int, nonstandard boolean"
+    "mcu_w int, mcu_h int, mcu_w_real int, mcu_h_real int, max_h int, max_v int, bmp_padding int, data_start int, warnings int, nonstandard boolean, decoded_bytes long"
 )
 MARKERS = "file_index int, seq int, code int, offset int, length int"
-COEFFS = "file_index int, brow int, bcol int, comp int, scan_idx int, restart_seg int, zz array<int>, error string"
+COEFFS = "file_index int, brow int, bcol int, comp int, scan_idx int, restart_seg int, zz array<int>, q array<int>, max_h int, max_v int, width int, height int, error string"
 IMAGES = "file_index int, path string, width int, height int, rgb binary, error string, elapsed_s double, blocks int"
 QUALITY = (
     "image string, corrupted boolean, ssim_r double, ssim_g double, ssim_b double, ssim double, psnr_r double, psnr_g double, psnr_b double, psnr double, "

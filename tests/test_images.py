@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessera.functions import jpeg, pixels
-from tessera.functions.fixture_jpeg import encode, segment
+from tessera.plans.fixture_jpeg import encode, segment
 from tessera.operators import classify, decode, quality
 from tessera.sources import bmp
 
