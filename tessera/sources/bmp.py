@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -10,14 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from tessera.ship import ship
+from tessera.sources.sink import FileSink, FileWriter
 
 HEAD = 54
+SUFFIX = "-cpu.bmp"
 
 
-def bmp_name(path: Column, suffix: str = "-cpu.bmp") -> Column:
+def bmp_name(path: Column, suffix: str = SUFFIX) -> Column:
     """The name with the suffix for its extension; dots in folders don't count."""
     return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(suffix))
 
@@ -92,12 +93,8 @@ def read_bmps(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-class BmpSource(DataSource):
-    """``df.write.format("bmp").save(folder)``: a bitmap for each row of path, width, height, rgb.
-
-    The folder must be one that all executors see. Files are written under a
-    temporary name and renamed, so a task that is run again leaves one file.
-    """
+class BmpSource(FileSink):
+    """``df.write.format("bmp").save(folder)``: a bitmap for each row of path, width, height, rgb, named after its path below the folder."""
 
     @classmethod
     def name(cls) -> str:
@@ -106,29 +103,18 @@ class BmpSource(DataSource):
     def schema(self) -> str:
         return "path string, width int, height int, rgb binary"
 
-    def writer(self, schema, overwrite: bool) -> "BmpWriter":
+    def writer(self, schema, overwrite: bool) -> BmpWriter:
+        super().writer(schema, overwrite)
         return BmpWriter(self.options)
 
 
-class BmpWriter(DataSourceArrowWriter):
-    def __init__(self, options):
-        self.folder = options["path"].removeprefix("file://").removeprefix("file:")
-        self.suffix = options.get("suffix", "-cpu.bmp")
-
-    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        os.makedirs(self.folder, exist_ok=True)
-        for batch in batches:
-            for f in batch.to_pylist():
-                if f["rgb"] is None:
-                    continue
-                name = os.path.basename(f["path"])
-                stem, dot, _ = name.rpartition(".")
-                target = os.path.join(self.folder, (stem if dot else name) + self.suffix)
-                temporary = f"{target}.{os.getpid()}.part"
-                with open(temporary, "wb") as out:
-                    out.write(encode(np.frombuffer(f["rgb"], np.uint8).reshape(f["height"], f["width"], 3)))
-                os.replace(temporary, target)
-        return WriterCommitMessage()
+class BmpWriter(FileWriter):
+    def files(self, batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+        suffix = self.options.get("suffix", SUFFIX)
+        for k in range(batch.num_rows):
+            f = batch.slice(k, 1).to_pylist()[0]
+            if f["rgb"] is not None:
+                yield re.sub(r"\.[^./]*$", "", f["path"]) + suffix, encode(np.frombuffer(f["rgb"], np.uint8).reshape(f["height"], f["width"], 3))
 
 
 def register(spark: SparkSession) -> None:

@@ -9,24 +9,41 @@ from tessera.schema import MAX_FILE
 
 
 def files(spark: SparkSession, paths: str | list[str], pattern: str | None = None, recursive: bool = False) -> DataFrame:
-    """path, length, content of regular files; missing paths are left out, see ``missing``."""
+    """path, length, content of regular files, empty ones as well; missing paths are left out, see ``missing``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     wanted = [paths] if isinstance(paths, str) else existing(spark, paths)
     if not wanted:
         return spark.createDataFrame([], "path string, length long, content binary")
-    return reader.load(wanted).select("path", "length", "content")
+    found = reader.load(wanted)
+    return found.select("path", "length", "content").unionByName(empty(found))
+
+
+def empty(found: DataFrame) -> DataFrame:
+    """The empty files, which Spark lists but doesn't read: what it listed without what it reads. Spark's own list is on the driver, too."""
+    spark = found.sparkSession
+    plain = lambda p: F.regexp_replace(p, "^file:/+", "file:/")
+    listed_ = spark.createDataFrame([(p,) for p in found.inputFiles()], "path string").select(plain(F.col("path")).alias("path"))
+    seen = found.select(plain(F.col("path")).alias("path"))
+    return listed_.join(seen, "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
 
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The paths that are there and no folders; asks the file system of each path."""
+    """The paths that are there and no folders, in order; each folder that holds some is listed once."""
     hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    held: dict[str, set[str]] = {}
     out = []
     for p in paths:
         where = jvm.org.apache.hadoop.fs.Path(p)
-        fs = where.getFileSystem(hadoop)
-        if fs.exists(where) and fs.getFileStatus(where).isFile():
+        folder = where.getParent()
+        if folder is None:
+            continue
+        key = folder.toString()
+        if key not in held:
+            fs = folder.getFileSystem(hadoop)
+            held[key] = {s.getPath().getName() for s in fs.listStatus(folder) if s.isFile()} if fs.exists(folder) else set()
+        if where.getName() in held[key]:
             out.append(p)
     return out
 
@@ -49,13 +66,19 @@ def from_list(spark: SparkSession, list_file: str) -> DataFrame:
     return indexed(files(spark, [r.path for r in listed(spark, list_file).orderBy("file_index").collect()]))
 
 
-def indexed(df: DataFrame) -> DataFrame:
-    """Adds file_index in path order. Numbers come per range partition, so no task sees all rows."""
-    parts = df.select("path").repartitionByRange("path").withColumn("_part", F.spark_partition_id())
-    within = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy("path")))
-    sizes = within.groupBy("_part").agg(F.count("*").alias("_n"))
-    # One row a partition.
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+def indexed(df: DataFrame, parts: int = 256) -> DataFrame:
+    """Adds file_index in path order.
+
+    Ranks are counted within ranges of paths and shifted by the ranges before, so no task sees all rows. The bounds, one path for
+    each of ``parts`` hash classes, are read once: a task that is run again gives the same numbers.
+    """
+    bounds = sorted(r[0] for r in df.groupBy(F.pmod(F.xxhash64("path"), F.lit(parts))).agg(F.min(F.struct(F.xxhash64("path"), "path"))["path"].alias("p")).select("p").collect())
+    # The first bound that the path doesn't reach tells its range.
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("path"))) if bounds else F.lit(0)
+    placed = df.select("path").withColumn("_part", part)
+    starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy("path")))
+    # One row a range.
     numbers = within.join(F.broadcast(starts.drop("_n")), "_part").select("path", (F.col("_start") + F.col("_at") - 1).cast("int").alias("file_index"))
     return df.join(numbers, "path")
 
