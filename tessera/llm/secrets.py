@@ -11,9 +11,18 @@ between a name and its literal (``name: str = "literal"``) is passed over. A quo
 phrase counts where the name's last word says that it is the secret itself and
 the phrase doesn't speak of such a thing. Three base patterns are always reported as well.
 
-Nulls and empty texts have no spans. Rows are independent, so ties and repeated
-rows need no rule. Positions are code points, ends exclusive. Other columns are
-kept; a column named like the result is replaced.
+A pair whose literal stands inside a base span of an assignment adds no span of
+its own; ``n_pair`` and ``pairs`` of the digest tell it all the same.
+
+Sums: a value takes operands until it has SUM_CHARS characters or SUM_PIECES
+literals; every operand after that is a pair of its own with the same name, so no
+literal is lost and a text that adds names to themselves stays in bounds. A
+literal of any length is one literal. A text is scanned once, in linear time.
+
+Nulls and empty texts have no spans, an empty table gives an empty result. Rows
+are independent, so ties and repeated rows need no rule. Positions are code
+points, ends exclusive. Other columns are kept; a column named like the result is
+replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +41,7 @@ from tessera.llm.common import column, map_batches, ship, texts_of
 
 KINDS = ("assign", "access", "hex", "pair")
 THRESHOLD = 0.6
+SUM_CHARS, SUM_PIECES = 4096, 64
 
 Span = tuple[int, int, int]
 
@@ -158,11 +168,20 @@ def pairs(text: str) -> list[Pair]:
             if not found:
                 continue
             pieces, at = found
+            size = sum(p.end - p.start for p in pieces)
+            rest = []
             while (j := _SPACE.match(text, at).end()) < end and (p := lexed(text, j)) and p["join"]:
                 more = operand(p.end())
                 if not more:
                     break
-                pieces, at = pieces + more[0], more[1]
+                at = more[1]
+                if size < SUM_CHARS and len(pieces) + len(more[0]) <= SUM_PIECES:
+                    pieces += more[0]
+                    size += sum(p.end - p.start for p in more[0])
+                else:
+                    rest.append(more[0])
+            for one in dict.fromkeys(rest):
+                give(target, one)
             give(target, pieces)
         elif kind == "other" and m["other"] in "])":
             pass
@@ -227,10 +246,14 @@ def score(name: str, value: str, quoted: bool) -> float:
     return 0.5 * of_name + 0.5 * of_literal if of_literal else 0.0
 
 
-def spans(text: str, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans): literals inside a base span of an assignment aren't told twice."""
+def sensitive(text: str, threshold: float = THRESHOLD) -> list[Pair]:
+    return [p for p in pairs(text) if p.score >= threshold]
+
+
+def spans(text: str, threshold: float = THRESHOLD, found: list[Pair] | None = None) -> tuple[list[Span], list[Span]]:
+    """(base spans, all spans): literals inside a base span of an assignment aren't told twice. found: the sensitive pairs, if they are known."""
     base = base_spans(text)
-    more = {(p.start, 3, p.end) for pair in pairs(text) if pair.score >= threshold for p in pair.pieces if p.end > p.start}
+    more = {(p.start, 3, p.end) for pair in (sensitive(text, threshold) if found is None else found) for p in pair.pieces if p.end > p.start}
     if "-----BEGIN " in text:
         more |= {(m.start(), 3, m.end()) for m in _BLOCK.finditer(text)}
     covered = [(a, b) for a, k, b in base if k == 0]
@@ -282,7 +305,7 @@ def redact(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> D
     return df.withColumn(text, clean(df[text]))
 
 
-DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_pair long, pairs string"
 
 
 def joined(found: list[Span]) -> str:
@@ -290,17 +313,20 @@ def joined(found: list[Span]) -> str:
 
 
 def secret_digest(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Counts and digest of the base spans, and all spans, of each text."""
+    """Counts and digest of the base spans, all spans, and the sensitive pairs (name, score and the places of the literals) of each text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, digests, told = [], [], []
+        counts, digests, told, n_pair, named = [], [], [], [], []
         for text in texts_of(batch, "text"):
-            base, found = spans(text, threshold)
+            of_names = sensitive(text, threshold)
+            base, found = spans(text, threshold, of_names)
+            n_pair.append(len(of_names))
+            named.append(",".join(f"{p.name}:{p.score:.2f}:{'+'.join(f'{x.start}-{x.end}' for x in p.pieces)}" for p in of_names))
             counts.append([sum(k == kind for _, k, _ in base) for kind in range(3)])
             digests.append(sha256(joined(base).encode()).hexdigest())
             told.append(joined(found))
         cols = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
-        cols = [column(batch, "doc_id"), *cols, pa.array(digests, pa.string()), pa.array(told, pa.string())]
+        cols = [column(batch, "doc_id"), *cols, pa.array(digests, pa.string()), pa.array(told, pa.string()), pa.array(n_pair, pa.int64()), pa.array(named, pa.string())]
         return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in DIGEST.split(", ")])
 
     return map_batches(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, DIGEST)

@@ -98,3 +98,20 @@ def test_typed(text):
 def test_values_with_equal_signs():
     assert literals("credentials: zQ9x7Lm2Pw4T==") == ["zQ9x7Lm2Pw4T=="]
     assert literals("credentials: zQ9x7Lm2=Pw4T") == ["zQ9x7Lm2=Pw4T"]
+
+
+def test_sums_stay_in_bounds():
+    doubled = 'secret_key = "zQ9x7Lm2Pw4T"\nx = secret_key\n' + "x = x + x\n" * 60
+    found = s.pairs(doubled)
+    assert len(found) < 200 and max(len(p.pieces) for p in found) <= 2 * s.SUM_PIECES
+    parts = [f"zQ9x7Lm2Pw4T{k:03d}" for k in range(300)]
+    chain = "private_key = " + " + ".join(f'"{p}"' for p in parts)
+    assert set(literals(chain)) == set(parts)
+    long = "zQ9x7Lm2Pw4T" * 2000
+    assert literals(f'private_key = "{long}"') == [long]
+
+
+def test_pairs_are_told(spark):
+    df = spark.createDataFrame([(1, 'token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"'), (2, "none"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_pair, r.pairs) for r in s.secret_digest(df).collect()}
+    assert got[1][0] == 1 and got[1][1].startswith("token:0.9") and got[1][1].endswith(":9-49") and got[2] == got[3] == (0, "")
