@@ -1,13 +1,17 @@
 """HTML extraction by nearest-URL page differencing.
 
-A page is cut into lines, one per block, without the parts that markup names as
-menus, headers, footers, sidebars, notices, adverts, forms or comments. Pages
-of a host with the same set of lines are copies and one page, that of the least
-path; these are sorted by URL path, each is paired with the neighbour that shares
-the longer path prefix, their lines are aligned by longest common subsequence,
-and shared lines are deleted. Paragraphs and headings inside an ``article`` or
-``main`` element stay even if shared. If a page has an ``article`` or ``main`` with text, only that
-counts.
+A page is cut into lines, one per block: all of its text but that of scripts,
+styles and form controls. Pages of a host with the same set of lines are copies
+and one page, that of the least path; these are sorted by URL path, each is
+paired with the neighbour that shares the longer path prefix, their lines are
+aligned by longest common subsequence, and shared lines are deleted.
+
+Markup says what else a line is. Paragraphs and headings inside an ``article`` or
+``main`` element are the text, and stay even if shared: passages that pages quote
+alike are no template. Lines that the markup names as menus, headers, footers,
+sidebars, notices, adverts, forms or comments go even if no neighbour shares
+them, and if a page has an ``article`` or ``main`` with text, so do lines outside
+it. All other lines are the alignment's alone to delete.
 
 Scale: lines of pages are compared by 8-byte hashes. The light table of hashes
 is range-partitioned by host, path and page, so a hot host is many partitions;
@@ -15,8 +19,10 @@ the rows at partition borders, two a partition, meet in a second step.
 
 Nulls: a null page is empty, a null URL is the empty path of the empty host.
 Ties: equal prefixes pair with the earlier page; pages that repeat in all of
-page_id, url and html are one in pairing and all are returned. An empty table
-gives an empty result. Columns other than those named are not read.
+page_id, url and html are one in pairing and all are returned. A page of any
+length is read once, in linear time. An empty table gives an empty result.
+Columns other than those named are not read, or kept where whole pages are
+returned.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import column, map_batches, materialize, ship, texts_of
 
-_RAW = {"script", "style", "title", "noscript", "template", "iframe", "textarea", "noembed", "noframes", "xmp", "svg", "math", "object", "select", "button"}
+_RAW = {"script", "style", "title", "noscript", "template", "iframe", "textarea", "noembed", "noframes", "xmp", "select", "button"}
 _SKIP = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog", "fieldset", "label", "datalist"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
@@ -70,33 +76,33 @@ def _boilerplate(name: str, attributes: str) -> str:
     return "other" if name not in ("body", "html", "article", "main") and _NAMES.search(named) else ""
 
 
-def lines(html: str) -> list[tuple[str, bool]]:
-    """(text, whether it is protected) of the blocks that markup doesn't rule out, in page order."""
-    out: list[tuple[str, bool, bool, int]] = []
+#: What a line is: left to the alignment, text of an article, or no text whatever the alignment says.
+FREE, TEXT, NONE = 0, 1, 2
+
+
+def lines(html: str) -> list[tuple[str, int]]:
+    """(text, what it is) of the blocks in page order."""
+    out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    linked = 0
-    links = 0
     inside = {"article": 0, "main": 0}
     prose = False
     skip, depth, why = "", 0, ""
     seen_main = False
+    unclosed: set[str] = set()
     at, end = 0, len(html)
 
     def flush() -> None:
-        nonlocal parts, linked
+        nonlocal parts
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, prose, any(inside.values()), linked))
-        parts, linked = [], 0
+                main = not skip and any(inside.values())
+                out.append((text, NONE if skip else TEXT if prose and main else FREE, main))
+        parts = []
 
     def say(raw: str) -> None:
-        nonlocal linked
-        if not skip and raw:
-            raw = unescape(raw)
-            parts.append(raw)
-            if links:
-                linked += len(raw)
+        if raw:
+            parts.append(unescape(raw))
 
     while at < end:
         lt = html.find("<", at)
@@ -127,33 +133,39 @@ def lines(html: str) -> list[tuple[str, bool]]:
             at = lt + 1
             continue
         if not closing and name in _RAW:
-            stop = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(html, at)
+            # A closing tag that isn't there is looked for once.
+            stop = None if name in unclosed else re.compile(f"</{re.escape(name)}\\s*>", re.I).search(html, at)
             if stop:
                 at = stop.end()
-            elif name not in ("button", "select", "object"):
+            elif name in ("button", "select"):
+                unclosed.add(name)
+            else:
                 at = end
             continue
         if name in _VOID:
-            if name in ("br", "hr") and not skip:
-                parts.append(" ") if name == "br" else flush()
+            if name == "br":
+                parts.append(" ")
+            elif name == "hr":
+                flush()
             continue
         if skip:
+            over = False
             if closing and name == skip:
                 depth -= 1
+                over = depth == 0
             elif not closing and name == skip and name not in _SELF_ENDING:
                 depth += 1
             elif not closing and (name == skip or name in inside and not seen_main and why != "comments" and not _boilerplate(name, attributes)):
                 depth = 0
             elif closing and skip in _SELF_ENDING and name not in _INLINE:
                 depth = 0
+            if depth <= 0 or name not in _INLINE:
+                flush()
             if depth > 0:
                 continue
-            ended_by_own = closing and name == skip
             skip = why = ""
-            if ended_by_own:
+            if over:
                 continue
-        if name == "a":
-            links = 0 if closing else 1
         if name in _INLINE and (closing or not _boilerplate(name, attributes)):
             continue
         flush()
@@ -170,10 +182,9 @@ def lines(html: str) -> list[tuple[str, bool]]:
             seen_main = True
         prose = name in _PROSE
     flush()
-    if any(main for _, _, main, _ in out):
-        return [(t, p) for t, p, main, _ in out if main]
-    # Outside an article, a block that is mostly links is a menu.
-    return [(t, False) for t, _, _, linked in out if 2 * linked <= len(t)]
+    if any(main for _, _, main in out):
+        return [(t, what if main else NONE) for t, what, main in out]
+    return [(t, what) for t, what, _ in out]
 
 
 def line_hash(text: str) -> int:
@@ -212,7 +223,7 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 def shared(own: list[int], kept: list[bool], other: list[int]) -> list[int]:
-    """The lines to delete: shared with the neighbour and not protected."""
+    """The lines to delete: shared with the neighbour, and no text of an article."""
     return [i for i in common_lines(own, other) if not kept[i]]
 
 
@@ -239,7 +250,7 @@ def _light(batch: pa.RecordBatch) -> pa.RecordBatch:
     arrays = [
         column(batch, "key"), column(batch, "host"), column(batch, "path"),
         pa.array([[line_hash(t) for t, _ in f] for f in found], pa.list_(pa.int64())),
-        pa.array([[k for _, k in f] for f in found], pa.list_(pa.bool_())),
+        pa.array([[what == TEXT for _, what in f] for f in found], pa.list_(pa.bool_())),
     ]
     return pa.RecordBatch.from_arrays(arrays, ["key", "host", "path", "hashes", "kept"])
 
@@ -338,12 +349,13 @@ def deletions(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
 
 
 def main_text(html: str, drop: list[int] | None) -> str:
+    """The lines that stay, joined; drop: the numbers of those that the alignment deletes."""
     gone = set(drop or ())
-    return " ".join(t for i, (t, _) in enumerate(lines(html)) if i not in gone)
+    return " ".join(t for i, (t, what) in enumerate(lines(html)) if what != NONE and i not in gone)
 
 
-def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", into: str = "text") -> DataFrame:
-    """All rows and columns of df with the main text of each page."""
+def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", into: str = "text", deleted: str | None = None) -> DataFrame:
+    """All rows and columns of df with the main text of each page; deleted: a column for the number of lines that the alignment deletes."""
     ship(df.sparkSession)
     keyed = df.select(F.struct("*").alias("_page"), page_key(F.col(key), F.col(url), F.col(html)).alias("key"))
     drops = deletions(keyed.select("key", F.col(f"_page.{url}").alias(url), F.col(f"_page.{html}").alias(html)), html, url)
@@ -354,9 +366,10 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "pag
 
     # Spark checks the size of the written table of deletions before it broadcasts it.
     joined = keyed.join(drops, "key", "left").withColumn("_text", text(F.col("_page")[html], F.col("drop")))
-    return joined.select(*(F.col("_page")[c].alias(c) for c in df.columns if c != into), F.col("_text").alias(into))
+    more = [F.coalesce(F.size("drop"), F.lit(0)).alias(deleted)] if deleted else []
+    return joined.select(*(F.col("_page")[c].alias(c) for c in df.columns if c not in (into, deleted)), F.col("_text").alias(into), *more)
 
 
 def main_texts(df: DataFrame) -> DataFrame:
-    out = extract(df.select("page_id", "url", "html"))
-    return out.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+    out = extract(df.select("page_id", "url", "html"), deleted="n_shared")
+    return out.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), F.col("n_shared").cast("long").alias("n_shared"))

@@ -78,3 +78,76 @@ def test_copies_and_long_templates(spark):
     rows = [(k * 10 + j, f"http://a.example/{k}?copy={j}", page(k)) for k in range(6) for j in range(3)]
     got = h.main_texts(frame(spark, rows)).collect()
     assert len(got) == len(rows) and all(r.text == f"Own {r.page_id // 10}" for r in got)
+
+
+def brute(rows):
+    """Texts of whole pages: neighbours by sorting, alignment by the textbook table."""
+    from collections import defaultdict
+    from os.path import commonprefix
+    from urllib.parse import urlsplit
+
+    hosts, found = defaultdict(dict), {}
+    for page_id, url, html in sorted(rows, key=lambda r: str(r[1])):
+        u = urlsplit(url or "")
+        path = u.path
+        for tail in ("/index.html", "/index.htm", ".html", ".htm", "/"):
+            if path.endswith(tail):
+                path = path[: -len(tail)]
+                break
+        found[page_id] = (u.netloc.lower(), path, h.lines(html or ""))
+        host, _, lines = found[page_id]
+        key = frozenset(t for t, _ in lines)
+        hosts[host].setdefault(key, []).append((path, page_id))
+    out = {}
+    for page_id, (host, path, lines) in found.items():
+        pages = sorted((min(v)[0], k) for k, v in hosts[host].items())
+        own = frozenset(t for t, _ in lines)
+        at = next(i for i, (_, k) in enumerate(pages) if k == own)
+        near = [pages[i] for i in (at - 1, at + 1) if 0 <= i < len(pages)]
+        gone = set()
+        if near:
+            least = pages[at][0]
+            best = max(near, key=lambda n: len(commonprefix([least, n[0]])))
+            other = [t for t, _ in found[min(hosts[host][best[1]])[1]][2]]
+            a = [t for t, _ in lines]
+            n = [[0] * (len(other) + 1) for _ in range(len(a) + 1)]
+            for i in range(len(a) - 1, -1, -1):
+                for j in range(len(other) - 1, -1, -1):
+                    n[i][j] = n[i + 1][j + 1] + 1 if a[i] == other[j] else max(n[i + 1][j], n[i][j + 1])
+            i = j = 0
+            while i < len(a) and j < len(other):
+                if a[i] == other[j]:
+                    gone.add(i)
+                    i, j = i + 1, j + 1
+                elif n[i + 1][j] >= n[i][j + 1]:
+                    i += 1
+                else:
+                    j += 1
+        out[page_id] = " ".join(t for i, (t, what) in enumerate(lines) if what != h.NONE and (what == h.TEXT or i not in gone))
+    return out
+
+
+def test_whole_pages(spark):
+    """Made pages of templates without any names, and the pages of the smallest tables."""
+    rnd = random.Random(6)
+    rows = []
+    for k in range(120):
+        site = k % 5
+        lines = [f"Top {site}", f"Menu {site} {k // 40}", *(f"Own {k} {j}" for j in range(rnd.randint(1, 5))), f"Quoted {k % 3}", f"Bottom {site}"]
+        body = "".join(f"<div>{x}</div>" for x in lines)
+        rows.append((k, f"http://s{site}.example/{rnd.choice('abc')}/{k:03}", f"<article><p>Text {k}</p><p>Same</p><div>{body}</div></article>" if k % 4 == 0 else body))
+    got = {r.page_id: (r.text, r.n_shared) for r in h.main_texts(frame(spark, rows)).collect()}
+    assert {k: t for k, (t, _) in got.items()} == brute(rows)
+    assert sum(n for _, n in got.values()) > 200 and all("Same" in got[k][0] for k in range(0, 120, 4))
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    real = {r.page_id: r.text for r in h.main_texts(pages).collect()}
+    assert real == brute([(r.page_id, r.url, r.html) for r in pages.collect()])
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for tag in ("<button>", "<select>", "<svg>", "<object>", "<!--", "<x "):
+        h.lines("<p>text</p>" + tag * 40000)
+    assert time.process_time() - began < 10
