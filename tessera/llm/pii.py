@@ -3,7 +3,8 @@
 Base kinds (e-mail, IP, card, phone) are found by patterns. The method then asks
 which other terms disclose such an entity: over the corpus, a term discloses an
 entity by the pointwise mutual information of the two, as a share of the
-entity's information content, log(N / n_e). Terms are the words of the texts that
+entity's information content, log(N / n_e). An entity is a value, or a kind: what
+tells that a text holds any phone number is a term of the kind's. Terms are the words of the texts that
 hold the entity, however far from it, without those inside base spans; all
 numbers count distinct texts, so copies change nothing. Terms with at least
 ``support`` distinct contexts of the entity (the ``WINDOW`` code points on both
@@ -113,16 +114,16 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _contexts(text: str) -> Column:
-    """One struct per span: entity, and a hash of the text on both sides."""
+    """Two structs per span, for its value and for its kind: entity, and a digest of the text on both sides."""
 
     def of(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(
-            F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("entity"),
-            F.xxhash64(
-                F.lower(F.substring(F.col(text), F.greatest(F.lit(0), s["start"] - WINDOW) + 1, F.least(F.lit(WINDOW), s["start"]))),
-                F.lower(F.substring(F.col(text), s["end"] + 1, F.lit(WINDOW))),
-            ).alias("context"),
-        ))
+        def pair(s: Column) -> Column:
+            before = F.substring(F.col(text), F.greatest(F.lit(0), s["start"] - WINDOW) + 1, F.least(F.lit(WINDOW), s["start"]))
+            sides = F.md5(F.concat(F.lower(before), F.lit("|"), F.lower(F.substring(F.col(text), s["end"] + 1, F.lit(WINDOW)))).cast("binary"))
+            names = (F.concat(F.lit(f"{kind}:"), F.lower(s["value"])), F.lit(kind))
+            return F.array(*(F.struct(n.alias("entity"), sides.alias("context")) for n in names))
+
+        return F.flatten(F.transform(kind, pair))
 
     return F.concat(*map(of, PATTERNS))
 
@@ -215,3 +216,58 @@ def sanitised(df: DataFrame, text: str = "text", key: str = "doc_id", remove: fl
     )
     new = F.when(F.col("_spans").isNull(), old).otherwise(folded)
     return joined.select(*(new.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in df.columns))
+
+
+# -- SQL ---------------------------------------------------------------------
+
+_PART = "(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+#: The patterns as RE2 has them, and what makes a match valid.
+_SQL_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "TRUE"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", rf"regexp_full_match(v, '0*{_PART}(?:\.0*{_PART}){{3}}')"),
+    "card": (r"[0-9](?:[ -]?[0-9])+", "length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(d[length(d) - i] AS INT)"
+             " WHEN CAST(d[length(d) - i] AS INT) > 4 THEN 2 * CAST(d[length(d) - i] AS INT) - 9 ELSE 2 * CAST(d[length(d) - i] AS INT) END)) % 10 = 0"),
+    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
+}
+
+
+def _placed(name: str, of: str, text: str, pattern: str) -> str:
+    """name(text, v, s, e): the matches of a pattern with their places; gaps and matches before a match give its start."""
+    return f"""{name}_l AS (SELECT {text} AS text, regexp_extract_all({text}, '{pattern}') AS ms, string_split_regex({text}, '{pattern}') AS gs FROM {of}),
+{name}_n AS (SELECT text, unnest(ms) AS v, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM {name}_l WHERE len(ms) > 0),
+{name} AS (SELECT text, v, CAST(sum(length(g) + length(v)) OVER (PARTITION BY text ORDER BY i) AS BIGINT) - length(v) AS s, CAST(sum(length(g) + length(v)) OVER (PARTITION BY text ORDER BY i) AS BIGINT) AS e FROM {name}_n)"""
+
+
+def oracle_sql() -> str:
+    """The same in DuckDB SQL: base spans, contexts, counts of distinct texts, and the terms' spans."""
+    kinds = list(PATTERNS)
+    each = ",\n".join(_placed(f"m_{k}", "texts", "text", _SQL_KINDS[k][0]) + f",\nb_{k} AS (SELECT text, '{k}' AS kind, {n} AS ord, v, s, e FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM m_{k}) t WHERE {_SQL_KINDS[k][1]})" for n, k in enumerate(kinds))
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+texts AS (SELECT DISTINCT text FROM docs),
+{each},
+base AS ({" UNION ALL ".join(f"SELECT * FROM b_{k}" for k in kinds)}),
+ctx AS (
+  SELECT text, unnest([kind || ':' || lower(v), kind]) AS entity, md5(lower(substr(text, CAST(greatest(0, s - {WINDOW}) AS BIGINT) + 1, CAST(least({WINDOW}, s) AS BIGINT))) || '|' || lower(substr(text, e + 1, {WINDOW}))) AS context FROM base
+),
+own AS (SELECT text, entity, min(context) AS context FROM ctx GROUP BY ALL),
+found AS (SELECT o.*, n_e FROM own o JOIN (SELECT entity, count(*) AS n_e FROM own GROUP BY entity HAVING count(DISTINCT context) >= {SUPPORT}) t USING (entity)),
+{_placed("w", "(SELECT DISTINCT text FROM found) f", "text", r"\p{{L}}[\p{{L}}\p{{M}}]*".replace("{{", "{").replace("}}", "}"))},
+words AS (SELECT text, lower(v) AS term, s, e FROM w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.text = w.text AND b.s < w.e AND w.s < b.e)),
+pairs AS (
+  SELECT entity, term, n_e, count(*) AS n_te FROM (SELECT DISTINCT text, term FROM words) x JOIN found USING (text) GROUP BY entity, term, n_e HAVING count(DISTINCT context) >= {SUPPORT}
+),
+held AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT text, unnest(regexp_extract_all(lower(text), '\p{{L}}[\p{{L}}\p{{M}}]*')) AS term FROM texts) x GROUP BY term),
+total AS (SELECT greatest(2, count(*)) AS n FROM texts),
+told AS (
+  SELECT entity, term FROM pairs JOIN held USING (term), total
+  WHERE ln(CAST(n_te AS DOUBLE) * n / (CAST(n_e AS DOUBLE) * greatest(n_t, n_te))) / ln(greatest(CAST(n AS DOUBLE) / n_e, 1.0001)) >= {GENERALISE}
+),
+terms AS (SELECT DISTINCT w.text, 'term' AS kind, {len(kinds)} AS ord, w.s, w.e FROM words w JOIN found USING (text) JOIN told USING (entity, term)),
+spans AS (SELECT text, kind, ord, s, e, kind || ':' || s || ':' || e AS told FROM (SELECT text, kind, ord, s, e FROM base UNION ALL SELECT * FROM terms) x),
+lists AS (
+  SELECT text, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)},
+    coalesce(string_agg(told, ',' ORDER BY ord, s) FILTER (kind <> 'term'), '') AS base, string_agg(told, ',' ORDER BY ord, s) AS spans FROM spans GROUP BY text
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN lists USING (text)
+"""

@@ -147,3 +147,31 @@ def keep_good(df: DataFrame, text: str = "text", host: str = "source", doc_id: s
 
 def quality_digest(df: DataFrame) -> DataFrame:
     return verdicts(df).select("doc_id", *BASE, "base_failed", "kept", "removed_words")
+
+
+def oracle_sql(least_docs: int = LEAST_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> str:
+    """The digest in DuckDB SQL, with the lines themselves for their hashes."""
+    word, blank = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
+words AS (SELECT r, regexp_extract_all(text, '{word}') AS w FROM docs),
+windows AS (SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS held FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM words WHERE len(w) >= {WINDOW}) x),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, held) AS n FROM windows) x WHERE n > 1),
+repeats AS (SELECT r, count(DISTINCT i + t.range) AS n_repeat_words FROM twice, range({WINDOW}) t GROUP BY r),
+lines AS (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line FROM docs),
+normal AS (SELECT r, host, text, line, regexp_extract_all(lower(line), '{word}') AS w FROM lines WHERE regexp_matches(line, '{blank}')),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM normal GROUP BY r),
+named AS (SELECT r, host, text, array_to_string(w, ' ') AS line, len(w) AS n FROM normal),
+common AS (
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM named GROUP BY host, line) x JOIN (SELECT host, count(DISTINCT text) AS docs FROM docs GROUP BY host) y USING (host)
+  WHERE n > {least_docs} AND n > {share}e0 * docs
+),
+gone AS (SELECT r, CAST(sum(n) AS BIGINT) AS removed_words FROM named JOIN common USING (host, line) GROUP BY r),
+counts AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
+  FROM docs JOIN words USING (r) LEFT JOIN dup USING (r) LEFT JOIN repeats USING (r) LEFT JOIN gone USING (r)
+),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND removed_words <= {depleted}e0 * n_words AS kept, removed_words FROM judged
+"""

@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.oracle_sql(), "op7_pii": pii.oracle_sql(), "op8_quality": quality.oracle_sql()}
