@@ -8,11 +8,15 @@ hash functions over the set of shingles, a pair of similarity s shares one with
 probability 1 - (1 - s^ROWS)^BANDS: 0.9995 at 0.8, 0.99998 at 0.85, and under
 0.01 at 0.3. Texts with a component or a band in common form a list.
 
-Texts of one list meet in rounds. In each, some of them are hubs, those with most
-texts in their lists first, and are held against all others that are not yet
-linked to them; then they leave the list. A short list has only hubs, a long one
-four times as many in each round as in the one before. So a large group with its
-original is settled at once, and the rounds end when no unlinked pair is untried.
+A short list is paired off. In a long one, the text with most texts in its lists
+is the hub and is held against all others, so a large group with its original is
+settled at once. What is left are lists that still hold more than one component.
+Their texts are joined by prefix filtering, which misses no similar pair: the
+shingles of a text are put in order, those rare among these texts first, and of
+two similar texts with x and y shingles of which at least o are common, one
+common shingle is among the x - o + 1 first of the one and the y - o + 1 first of
+the other. Copies edited on their own have their edits there, which no other text
+has; so what isn't similar hardly ever meets, however large the group.
 
 Nulls: a null text counts as empty; texts without words are copies of each other.
 Ties: equal texts are one from the start. A text of any length has a list of
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
@@ -85,7 +89,7 @@ def _marks(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def lists(marks: DataFrame) -> DataFrame:
-    """token, id, n and weight (how many texts its lists hold) of the texts that share a token; marks: one row a text."""
+    """token, size (texts of it), id, n and weight (how many texts its lists hold) of the texts that share a token; marks: one row a text."""
     classes = materialize(marks.groupBy("fp").agg(F.count("*").alias("texts")), "fingerprints")
     roots = components(simhash.links(classes.select("fp"), DISTANCE)).withColumnRenamed("node", "fp")
     by_print = marks.join(roots, "fp", "left").select(F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("token"), "id", "n")
@@ -94,42 +98,71 @@ def lists(marks: DataFrame) -> DataFrame:
     sizes = materialize(each.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "list-sizes")
     posts = materialize(each.join(sizes, "token"), "shared-tokens")
     weights = posts.groupBy("id").agg(F.sum("size").alias("weight"))
-    return materialize(posts.drop("size").join(weights, "id"), "posts")
+    return materialize(posts.join(weights, "id"), "posts")
 
 
-def linked(posts: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """node and root of the components of all similar pairs in lists; posts: token, id, n (shingles), weight; held: k, text."""
-    spark = posts.sparkSession
+def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """A written table of the similar ones of pairs a, b; held: k, text."""
 
     @F.arrow_udf("boolean")
     def same(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([similar(s, t, similarity) for s, t in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
-
-    found = tried = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
-    hubs_of = 1
-    while True:
-        rooted = posts.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        # Lists within one component are settled.
-        open_ = rooted.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token", "size")
-        now = materialize(rooted.join(open_, "token"), "open-lists")
-        if now.isEmpty():
-            return roots
-        share = F.when(F.col("size") <= FEW, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(hubs_of)))
-        hubs = materialize(now.groupBy("token", share.alias("share")).agg(F.max(F.struct("weight", "id", "n", "root")).alias("hub")).select("token", "hub"), "hubs")
-        sizes = (F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n") - 1e-6) & (F.col("root") != F.col("hub.root"))
-        met = now.join(hubs, "token").filter(sizes).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-        pairs = materialize(met.join(tried, ["a", "b"], "left_anti"), "pairs")
-        # Only the texts of this round's pairs are moved.
-        side = lambda end, name: held.withColumnsRenamed({"k": end, "text": name}).join(pairs.select(end).distinct(), end, "left_semi")
-        compared = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-        more = materialize(compared.withColumn("same", same("x", "y")).filter("same").select("a", "b"), "verified")
-        if not more.isEmpty():
-            found = found.unionByName(more)
-            roots = components(found)
-        tried = tried.unionByName(pairs)
-        posts = materialize(now.join(hubs.select("token", F.col("hub.id").alias("id")), ["token", "id"], "left_anti").select("token", "id", "n", "weight"), "posts")
-        hubs_of *= 4
+        return pa.array([similar(s.as_py(), t.as_py(), similarity) for s, t in zip(x, y)], pa.bool_())
+
+    # Only the texts of these pairs are moved.
+    side = lambda end, name: held.withColumnsRenamed({"k": end, "text": name}).join(pairs.select(end).distinct(), end, "left_semi")
+    compared = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return materialize(compared.withColumn("same", same("x", "y")).filter("same").select("a", "b"), "verified")
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def by_hubs(posts: DataFrame, similarity: float) -> DataFrame:
+    """A written table of pairs a, b: all of a short list, those with the hub of a long one; posts: token, id, n, weight, size."""
+    whole = F.when(F.col("size") <= FEW, F.col("id"))
+    hubs = posts.groupBy("token", whole.alias("whole")).agg(F.max(F.struct("weight", "id", "n")).alias("hub")).select("token", "hub")
+    ratio = (F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n") - 1e-6) & (F.col("id") != F.col("hub.id"))
+    return materialize(posts.join(hubs, "token").filter(ratio).select(*_pair("id", "hub.id")).distinct(), "hub-pairs")
+
+
+def _shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+    hashes = [distinct_hashes(t).view(np.int64) for t in texts_of(batch, "text")]
+    return pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([len(h) for h in hashes], pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], ["id", "n", "hashes"])
+
+
+def by_prefix(texts: DataFrame, similarity: float) -> DataFrame:
+    """A written table of pairs a, b with different roots, all similar ones among them; texts: id, root, text."""
+    each = materialize(map_batches(texts.select("id", "text"), _shingles, "id long, n int, hashes array<long>").select("id", "n", F.explode("hashes").alias("h")), "late-shingles")
+    often = each.groupBy("h").agg(F.count("*").alias("f")).filter("f > 1")
+    # Shingles of one text come first and meet nothing: only their number counts.
+    shared = each.join(often, "h")
+    every = Window.partitionBy("id")
+    place = F.col("n") - F.count("*").over(every) + F.row_number().over(every.orderBy("f", "h")) - 1
+    least = lambda n: F.ceil(n - 1e-9)
+    first = shared.withColumn("at", place).filter(F.col("at") <= F.col("n") - least(similarity * F.col("n"))).select("h", "id", "n", "at")
+    first = materialize(first.join(texts.select("id", "root"), "id"), "late-prefixes")
+    # Texts of a list's commonest root needn't meet each other.
+    roots = first.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root"))["root"].alias("top"))
+    others = first.join(roots.filter("roots > 1"), "h").filter("root != top").select("h", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "at", "root")))
+    both = least(similarity / (1 + similarity) * (F.col("n") + F.col("n2")))
+    close = (F.col("root") != F.col("root2")) & (F.col("at") <= F.col("n") - both) & (F.col("at2") <= F.col("n2") - both)
+    return materialize(first.join(others, "h").filter(close).select(*_pair("id", "id2")).distinct(), "late-pairs")
+
+
+def linked(posts: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """node and root of the components of the similar pairs in lists; posts: token, id, n (shingles), weight, size; held: k, text."""
+    tried = by_hubs(posts, similarity)
+    found = verified(tried, held, similarity)
+    roots = components(found)
+    rooted = posts.filter(F.col("size") > FEW).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token")
+    late = materialize(rooted.join(open_, "token", "left_semi").select("id", "root").distinct(), "late-texts")
+    if late.isEmpty():
+        return roots
+    more = by_prefix(late.join(held.withColumnRenamed("k", "id"), "id"), similarity).join(tried, ["a", "b"], "left_anti")
+    more = verified(materialize(more, "late-untried"), held, similarity)
+    return roots if more.isEmpty() else components(found.unionByName(more))
 
 
 def text_classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
