@@ -1,4 +1,12 @@
-"""A corpus pipeline of five operators; each stage is written and read again by whoever runs it stage by stage."""
+"""A corpus pipeline of five operators; each stage is written and read again by whoever runs it stage by stage.
+
+Every stage reads all rows and whole texts of the one before. Nulls: a null text
+counts as empty, a null source or language as the empty name; a document with a
+null id is kept like others. An empty table gives an empty result at each stage.
+All but the last stage return the columns of documents as they came, further ones
+with clashing names too. Rows that repeat: all pass the rules, one is left by
+near-dedup.
+"""
 
 from __future__ import annotations
 
@@ -17,12 +25,12 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; boilerplate lines leave the texts of the others."""
+    """Rejected documents go, empty ones among them; boilerplate lines leave the texts of the others."""
     return _counted(quality.keep_good(docs), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that of the least id; clean documents all stay."""
     return near_copies.keep_one(docs)
 
 
@@ -32,12 +40,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn to the target weights."""
+    """Documents drawn to the target weights; one that is drawn in two epochs comes twice."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each text."""
+    """The token ids of each text: doc_id, lang, source, n_tokens, ids; a text without any has an empty list."""
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
