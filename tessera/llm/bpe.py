@@ -6,7 +6,9 @@ read off backwards, appended bytes only add entries, and an edit only changes
 entries from its place until they agree with the old ones again.
 
 Nulls and empty texts have no tokens and decode to no bytes. Rows are
-independent, so ties and repeated rows need no rule. Other columns are kept.
+independent, so ties and repeated rows need no rule. A text of any length is
+encoded piece by piece; an empty table gives an empty result. Other columns are
+kept; one named like the result is replaced.
 """
 
 from __future__ import annotations

@@ -2,7 +2,9 @@
 
 Nulls: a null payload is stored as an empty one; a null file gives no packets.
 Malformed files: ``packet_table`` gives one row with ``error`` set and all else null.
-Repeated rows, ties: rows are independent. Extra columns are not read.
+Repeated rows, ties: rows are independent. A text of any length is one file, read
+and written in one piece. An empty table gives an empty result. Extra columns are
+not read, or kept where a column is added; one of that name is replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from tessera.llm.common import column, map_batches, texts_of
 # Fixed values of the Matroska format.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS = 0xAE, 0xE1, 0xA0, 0xBB, 0xB7
+MUXING_APP, WRITING_APP = 0x4D80, 0x5741
 TIMESTAMP_SCALE, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK = 0x2AD7B1, 0xE7, 0xA3, 0xA1
 TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
 SAMPLING, CHANNELS, BIT_DEPTH = 0xB5, 0x9F, 0x6264
@@ -93,7 +96,7 @@ def lace(frames: list[bytes], kind: int) -> bytes:
 def write_matroska(payload: bytes, per_block: int = 8, per_cluster: int = 256, kind: int = EBML_LACING) -> bytes:
     """payload as mono 8-bit PCM: frames of 576 samples, laced into blocks, in clusters that cues point to."""
     frames = [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
-    info = element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000))
+    info = element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000) + element(MUXING_APP, b"tessera") + element(WRITING_APP, b"tessera"))
     audio = element(AUDIO, element(SAMPLING, struct.pack(">f", RATE)) + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8))
     entry = _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT")
     tracks = element(TRACKS, element(TRACK_ENTRY, entry + _uint(DEFAULT_DURATION, FRAME_MS * 1_000_000) + audio))

@@ -49,3 +49,21 @@ def test_digest(spark):
     assert m.media_digest(df.limit(0)).count() == 0
     table = m.packet_table(m.store_text(df.drop("media")), "doc_id")
     assert table.filter("doc_id = 2").count() == 2 * -(-10000 // 576)
+
+
+def test_query_against_the_text(spark):
+    """All columns from the text itself; the stored form is read by a parser of its own."""
+    from hashlib import sha256
+    from zlib import crc32
+
+    texts = [None, "", "a", "é" * 288, "x" * 576, "y" * 577, "z" * 400_000]
+    df = spark.createDataFrame([(k, t, "m") for k, t in enumerate(texts)], "doc_id long, text string, media string")
+    got = {r.doc_id: r for r in m.media_digest(df).collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        r, stored = got[k], m.write_matroska(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha256(payload).hexdigest(), crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), sha256(stored).hexdigest())
+    assert got[0].feature == got[1].feature and m.media_digest(df.limit(0)).count() == 0
+    assert m.store_text(df).columns == df.columns
