@@ -187,12 +187,12 @@ def _joined(kinds: tuple[str, ...]) -> Column:
 
 
 def pii_digest(df: DataFrame) -> DataFrame:
-    """Counts and digest of the base spans, and all spans, of each text."""
+    """Counts and digest of the base spans, all spans, and their number, of each text."""
     scans = scanned(df)
     terms = disclosing_spans(df, scans)
     out = scans.join(terms, "tkey", "left").withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:int,end:int,share:double>>")))
     kinds = tuple(PATTERNS)
-    return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds), F.sha2(_joined(kinds), 256).alias("base_sha256"), _joined(KINDS).alias("spans"))
+    return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds), F.sha2(_joined(kinds), 256).alias("base_sha256"), _joined(KINDS).alias("spans"), sum((F.size(k) for k in KINDS[1:]), F.size(KINDS[0])).cast("long").alias("n_all"))
 
 
 def sanitised(df: DataFrame, text: str = "text", key: str = "doc_id", remove: float = REMOVE, **limits: float) -> DataFrame:
@@ -221,6 +221,7 @@ def sanitised(df: DataFrame, text: str = "text", key: str = "doc_id", remove: fl
 # -- SQL ---------------------------------------------------------------------
 
 _PART = "(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_SQL_TERM = r"\p{L}[\p{L}\p{M}]*"
 #: The patterns as RE2 has them, and what makes a match valid.
 _SQL_KINDS = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "TRUE"),
@@ -252,12 +253,12 @@ ctx AS (
 ),
 own AS (SELECT text, entity, min(context) AS context FROM ctx GROUP BY ALL),
 found AS (SELECT o.*, n_e FROM own o JOIN (SELECT entity, count(*) AS n_e FROM own GROUP BY entity HAVING count(DISTINCT context) >= {SUPPORT}) t USING (entity)),
-{_placed("w", "(SELECT DISTINCT text FROM found) f", "text", r"\p{{L}}[\p{{L}}\p{{M}}]*".replace("{{", "{").replace("}}", "}"))},
+{_placed("w", "(SELECT DISTINCT text FROM found) f", "text", _SQL_TERM)},
 words AS (SELECT text, lower(v) AS term, s, e FROM w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.text = w.text AND b.s < w.e AND w.s < b.e)),
 pairs AS (
   SELECT entity, term, n_e, count(*) AS n_te FROM (SELECT DISTINCT text, term FROM words) x JOIN found USING (text) GROUP BY entity, term, n_e HAVING count(DISTINCT context) >= {SUPPORT}
 ),
-held AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT text, unnest(regexp_extract_all(lower(text), '\p{{L}}[\p{{L}}\p{{M}}]*')) AS term FROM texts) x GROUP BY term),
+held AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT text, unnest(regexp_extract_all(lower(text), '{_SQL_TERM}')) AS term FROM texts) x GROUP BY term),
 total AS (SELECT greatest(2, count(*)) AS n FROM texts),
 told AS (
   SELECT entity, term FROM pairs JOIN held USING (term), total
@@ -267,7 +268,7 @@ terms AS (SELECT DISTINCT w.text, 'term' AS kind, {len(kinds)} AS ord, w.s, w.e
 spans AS (SELECT text, kind, ord, s, e, kind || ':' || s || ':' || e AS told FROM (SELECT text, kind, ord, s, e FROM base UNION ALL SELECT * FROM terms) x),
 lists AS (
   SELECT text, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)},
-    coalesce(string_agg(told, ',' ORDER BY ord, s) FILTER (kind <> 'term'), '') AS base, string_agg(told, ',' ORDER BY ord, s) AS spans FROM spans GROUP BY text
+    coalesce(string_agg(told, ',' ORDER BY ord, s) FILTER (kind <> 'term'), '') AS base, string_agg(told, ',' ORDER BY ord, s) AS spans, count(*) AS n_all FROM spans GROUP BY text
 )
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN lists USING (text)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_all, 0) AS n_all FROM docs LEFT JOIN lists USING (text)
 """
