@@ -233,16 +233,43 @@ def canonical(counts: Sequence[int]) -> list[tuple[int, int]]:
     return out
 
 
+#: What a window begins with: a value, one whose bits reach past the window, zeros without a value, the end, or no code.
+VALUE, LONG, ZEROS, END, WRONG, OVER = range(6)
+NONE = (0, WRONG, 0, 0)
+
+
 @lru_cache(maxsize=32)
-def _lookup(counts: tuple[int, ...], symbols: tuple[int, ...]) -> list[int]:
-    """For each 16-bit window: length << 8 | symbol, or 0 where no code fits. Files that share their tables share these."""
-    table = np.zeros(1 << 16, np.int32)
+def _lookup(counts: tuple[int, ...], symbols: tuple[int, ...], kind: int) -> list[tuple[int, int, int, int]]:
+    """For each 16-bit window of DC (kind 0) or AC codes: bits taken, what it is, zeros before it, and the value or the size of one.
+
+    Code and magnitude are told in one step where both fit into the window. Files that share their tables share these, and equal
+    entries are one object.
+    """
+    windows = np.arange(1 << 16)
+    out = np.zeros((1 << 16, 4), np.int64)
+    out[:] = NONE
     for (code, length), symbol in zip(canonical(counts), symbols):
         first = code << 16 - length
         if first + (1 << 16 - length) > 1 << 16:
             raise Invalid("Huffman codes overflow")
-        table[first : first + (1 << 16 - length)] = length << 8 | symbol
-    return table.tolist()
+        own = slice(first, first + (1 << 16 - length))
+        run, size = (symbol >> 4, symbol & 15) if kind else (0, symbol)
+        if symbol == 255:
+            continue
+        if size > (10 if kind else 11):
+            out[own] = (length, OVER, 0, 0)
+        elif kind and not size:
+            out[own] = (length, ZEROS, 16 if symbol == 0xF0 else run, 0) if symbol else (length, END, 0, 0)
+        elif length + size > 16:
+            out[own] = (length, LONG, run, size)
+        else:
+            bits = windows[own] >> 16 - length - size & (1 << size) - 1
+            out[own] = (length + size, VALUE, run, 0)
+            out[own, 3] = np.where(bits >> max(0, size - 1), bits, bits - (1 << size) + 1) if size else 0
+    packed = (out + [0, 0, 0, 1 << 15]) @ [1 << 32, 1 << 28, 1 << 20, 1]
+    _, at, which = np.unique(packed, return_index=True, return_inverse=True)
+    entries = [tuple(row) for row in out[at].tolist()]
+    return [entries[k] for k in which.tolist()]
 
 
 _RESTART = re.compile(rb"\xff+([\xd0-\xd7])")
@@ -257,50 +284,55 @@ def segments(data: bytes, start: int) -> list[bytes]:
     return [re.sub(rb"\xff+\x00", b"\xff", p) for p in parts]
 
 
-def read_block(raw: bytes, pos: int, dc: list[int], ac: list[int], places: list[int], values: list[int]) -> int:
+def read_block(raw: bytes, pos: int, dc: list, ac: list, places: list[int], values: list[int]) -> int:
     """Decodes the block that begins at bit ``pos`` of raw, which ends with eight spare bytes: its places and values are appended, the bit after it returned."""
     k = 0
     base = pos & ~7
     window = int.from_bytes(raw[base >> 3 : (base >> 3) + 8].ljust(8, b"\0"), "big")
+    table = dc
     while k < 64:
         # The window holds 64 bits from the byte at base.
         if pos - base > 32:
             base = pos & ~7
             window = int.from_bytes(raw[base >> 3 : (base >> 3) + 8].ljust(8, b"\0"), "big")
-        hit = (ac if k else dc)[window >> 48 - (pos - base) & 0xFFFF]
-        symbol = hit & 255
-        if not hit or symbol == 255:
-            raise Invalid("unknown code")
-        pos += hit >> 8
-        size = symbol & 15 if k else symbol
-        if size > (10 if k else 11):
-            raise Invalid("AC size over 10" if k else "DC size over 11")
-        if k:
-            if symbol == 0:
-                break
-            k += 16 if symbol == 0xF0 else symbol >> 4
-            if k > (64 if symbol == 0xF0 else 63):
-                raise Invalid("zero run past the block")
-            # A run without a value skips just the run.
-            if not size:
-                continue
-        if size:
-            bits = window >> 64 - (pos - base) - size & (1 << size) - 1
+        bits, what, run, value = table[window >> 48 - pos + base & 0xFFFF]
+        pos += bits
+        if what == VALUE:
+            k += run
+        elif what == END:
+            break
+        elif what == LONG:
+            k += run
+            size, value = value, window >> 64 - (pos - base) - value & (1 << value) - 1
             pos += size
-            places.append(k)
-            values.append(bits if bits >> size - 1 else bits - (1 << size) + 1)
+            if not value >> size - 1:
+                value -= (1 << size) - 1
+        elif what == ZEROS:
+            k += run
+            if k > (64 if run == 16 else 63):
+                raise Invalid("zero run past the block")
+            continue
+        elif what == OVER:
+            raise Invalid("DC size over 11" if table is dc else "AC size over 10")
+        else:
+            raise Invalid("unknown code")
+        if k > 63:
+            raise Invalid("zero run past the block")
+        places.append(k)
+        values.append(value)
         k += 1
+        table = ac
     return pos
 
 
-def scan_shape(h: Header) -> list[tuple[int, int, int, list[int], list[int]]]:
+def scan_shape(h: Header) -> list[tuple[int, int, int, list, list]]:
     """Component, row and column within a unit, and the code tables, of a unit's blocks in order."""
     for c in h.comps:
         if c["tq"] not in h.qt:
             raise Invalid("missing quantization table")
         if c["td"] not in h.dc or c["ta"] not in h.ac:
             raise Invalid("missing Huffman table")
-    luts = {(kind, k): _lookup(*map(tuple, t)) for kind, tables in enumerate((h.dc, h.ac)) for k, t in tables.items()}
+    luts = {(kind, k): _lookup(*map(tuple, t), kind) for kind, tables in enumerate((h.dc, h.ac)) for k, t in tables.items()}
     return [(k, y, x, luts[0, c["td"]], luts[1, c["ta"]]) for k, c in enumerate(h.comps) for y in range(c["v"]) for x in range(c["h"])]
 
 
