@@ -102,14 +102,13 @@ def lists(marks: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """A written table of the similar ones of pairs a, b; held: k, text."""
+    """A written table of the similar ones of pairs a, b; held: k, text, which both sides of the join read alike, so it is dealt out once."""
 
     @F.arrow_udf("boolean")
     def same(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([similar(s.as_py(), t.as_py(), similarity) for s, t in zip(x, y)], pa.bool_())
 
-    # Only the texts of these pairs are moved.
-    side = lambda end, name: held.withColumnsRenamed({"k": end, "text": name}).join(pairs.select(end).distinct(), end, "left_semi")
+    side = lambda end, name: held.withColumnsRenamed({"k": end, "text": name})
     compared = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     return materialize(compared.withColumn("same", same("x", "y")).filter("same").select("a", "b"), "verified")
 
@@ -161,7 +160,10 @@ def linked(posts: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     if late.isEmpty():
         return roots
     more = by_prefix(late.join(held.withColumnRenamed("k", "id"), "id"), similarity).join(tried, ["a", "b"], "left_anti")
-    more = verified(materialize(more, "late-untried"), held, similarity)
+    more = materialize(more, "late-untried")
+    # Few of the texts are in these pairs.
+    ends = more.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    more = verified(more, materialize(held.join(ends, "k", "left_semi"), "late-held"), similarity)
     return roots if more.isEmpty() else components(found.unionByName(more))
 
 
