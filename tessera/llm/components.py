@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 
 def _fold(links: DataFrame) -> DataFrame:
@@ -39,4 +39,5 @@ def components(links: DataFrame) -> DataFrame:
         if print_of == before or not print_of[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = print_of
-        now = materialize(_fold(_small_star(_fold(_large_star(now)))), "links")
+        old, now = now, materialize(_fold(_small_star(_fold(_large_star(now)))), "links")
+        discard(old)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
-from tessera.llm.common import column, map_batches, materialize, ship, texts_of
+from tessera.llm.common import column, discard, map_batches, materialize, ship, texts_of
 from tessera.llm.components import components
 
 WIDTH = 5
@@ -96,9 +96,11 @@ def lists(marks: DataFrame) -> DataFrame:
     each = by_print.unionByName(marks.select(F.posexplode("bands").alias("band", "value"), "id", "n").select(F.xxhash64("band", "value").alias("token"), "id", "n"))
     each = materialize(each, "tokens")
     sizes = materialize(each.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "list-sizes")
-    posts = materialize(each.join(sizes, "token"), "shared-tokens")
-    weights = posts.groupBy("id").agg(F.sum("size").alias("weight"))
-    return materialize(posts.join(weights, "id"), "posts")
+    shared = materialize(each.join(sizes, "token"), "shared-tokens")
+    weights = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    posts = materialize(shared.join(weights, "id"), "posts")
+    discard(classes, each, sizes, shared)
+    return posts
 
 
 def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
@@ -146,7 +148,9 @@ def by_prefix(texts: DataFrame, similarity: float) -> DataFrame:
     others = first.join(roots.filter("roots > 1"), "h").filter("root != top").select("h", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "at", "root")))
     both = least(similarity / (1 + similarity) * (F.col("n") + F.col("n2")))
     close = (F.col("root") != F.col("root2")) & (F.col("at") <= F.col("n") - both) & (F.col("at2") <= F.col("n2") - both)
-    return materialize(first.join(others, "h").filter(close).select(*_pair("id", "id2")).distinct(), "late-pairs")
+    pairs = materialize(first.join(others, "h").filter(close).select(*_pair("id", "id2")).distinct(), "late-pairs")
+    discard(each, first)
+    return pairs
 
 
 def linked(posts: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
@@ -173,6 +177,7 @@ def text_classes(df: DataFrame, text: str = "text", key: str = "doc_id", similar
     read = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
     marks = materialize(map_batches(read.select(F.col("tkey").alias("id"), "text"), _marks, _MARKS).dropDuplicates(["id"]), "marks")
     posts = lists(marks)
+    discard(marks)
     # Copies fold into one before the shuffle.
     texts = read.groupBy(F.col("tkey").alias("k")).agg(F.first("text").alias("text"))
     held = materialize(texts.join(posts.select(F.col("id").alias("k")).distinct(), "k", "left_semi"), "held-texts")
