@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -46,6 +46,8 @@ SUPPORT = 3
 GENERALISE = 0.6
 REMOVE = 0.8
 _BLOCK = 128
+#: Texts with copies that are told to all tasks, 8 bytes each; more are joined by sorting.
+FEW_COPIED = 500_000
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -143,39 +145,62 @@ def entities(scans: DataFrame, support: int = SUPPORT) -> DataFrame:
     return materialize(own.join(seen.drop("n"), "entity"), "supported")
 
 
-def words_of(scans: DataFrame, found: DataFrame) -> DataFrame:
-    """A written table: tkey of each text with such an entity, and term, start and end of its words outside base spans."""
-    texts = scans.join(found.select("tkey").distinct(), "tkey", "left_semi").dropDuplicates(["tkey"])
+def texts_of_entities(scans: DataFrame, found: DataFrame) -> DataFrame:
+    """A written table: tkey, _text, base (the places of base spans) and entities of each text with an entity of ``found``."""
+    own = found.groupBy("tkey").agg(F.collect_list(F.struct("entity", F.xxhash64("context").alias("context"), "n_e")).alias("entities"))
     base = F.array_sort(F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in PATTERNS)))
-    each = with_matches(texts.select("tkey", "_text", base.alias("base")), "_text", {"word": _TERM})
-    apart = F.filter("word", lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return materialize(each.select("tkey", F.explode(apart).alias("w")).select("tkey", F.lower("w.value").alias("term"), "w.start", "w.end"), "words")
+    texts = scans.filter("size(contexts) > 0").select("tkey", "_text", base.alias("base")).dropDuplicates(["tkey"])
+    return materialize(texts.join(own, "tkey"), "entity-texts")
 
 
-def disclosures(df: DataFrame, scans: DataFrame, found: DataFrame, words: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """entity, term and share: how much of the entity's information the term gives, where that is at least ``generalise``."""
-    held = words.select("tkey", "term").distinct().join(found, "tkey")
-    pairs = held.groupBy("entity", "term", "context", "n_e").agg(F.count("*").alias("n")).groupBy("entity", "term", "n_e").agg(F.sum("n").alias("n_te"), F.count("*").alias("n_c"))
-    pairs = materialize(pairs.filter(F.col("n_c") >= support), "pairs")
-    # All c copies of a text hold the term, so rows / c are texts.
+def words_apart(texts: DataFrame) -> DataFrame:
+    """Adds the array ``word`` of a text's words outside base spans."""
+    each = with_matches(texts, "_text", {"word": _TERM})
+    return each.withColumn("word", F.filter("word", lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))))
+
+
+def distinct_texts(df: DataFrame, scans: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """_text of each distinct text once, and their number. Only texts that have copies are moved."""
     copies = materialize(scans.groupBy("tkey").agg(F.count("*").alias("c")), "copies")
-    total = F.lit(max(2, copies.count())).cast("double")
-    each = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("tkey", F.xxhash64("_text")).join(copies.filter("c > 1"), "tkey", "left")
-    terms = each.select(F.coalesce("c", F.lit(1)).alias("c"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    held = terms.groupBy("term", "c").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum(F.expr("n div c")).alias("n_t"))
+    again = materialize(copies.filter("c > 1").select("tkey"), "copied")
+    # The size of the written table is checked; beyond it Spark joins by sorting.
+    held = F.broadcast(again) if again.count() <= FEW_COPIED else again
+    each = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("tkey", F.xxhash64("_text"))
+    once = each.join(held, "tkey", "left_semi").dropDuplicates(["tkey"])
+    return each.join(held, "tkey", "left_anti").unionByName(once).select("_text"), copies.count()
+
+
+def disclosures(df: DataFrame, scans: DataFrame, terms: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """A written table: entity, term and share, how much of the entity's information the term gives, where that is at least ``generalise``.
+
+    terms: entities and terms of each text with any.
+    """
+    rows = terms.select("entities", F.explode("terms").alias("term")).select("term", F.explode("entities").alias("e")).select("term", "e.*")
+    pairs = rows.groupBy("entity", "term", "context", "n_e").agg(F.count("*").alias("n")).groupBy("entity", "term", "n_e").agg(F.sum("n").alias("n_te"), F.count("*").alias("n_c"))
+    pairs = materialize(pairs.filter(F.col("n_c") >= support), "pairs")
+    each, n = distinct_texts(df, scans, text)
+    total = F.lit(max(2, n)).cast("double")
+    held = each.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(_TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     n_t = F.greatest("n_t", "n_te")
     pmi = F.log(F.col("n_te") * total / (F.col("n_e") * n_t))
     content = F.log(F.greatest(total / F.col("n_e"), F.lit(1.0001)))
-    return pairs.join(held, "term").withColumn("share", pmi / content).filter(F.col("share") >= generalise).select("entity", "term", "share")
+    return materialize(pairs.join(held, "term").withColumn("share", pmi / content).filter(F.col("share") >= generalise).select("entity", "term", "share"), "disclosures")
 
 
 def disclosing_spans(df: DataFrame, scans: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """tkey and the array of its disclosing terms' spans with their shares: all places of the term in texts that hold the entity."""
+    """A written table: tkey and the array of its disclosing terms' spans with their shares, all places of the term in texts that hold the entity."""
     found = entities(scans, support)
-    words = words_of(scans, found)
-    given = disclosures(df, scans, found, words, text, support, generalise)
-    shares = found.join(given, "entity").groupBy("tkey", "term").agg(F.max("share").alias("share"))
-    return words.join(shares, ["tkey", "term"]).groupBy("tkey").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("term"))
+    texts = texts_of_entities(scans, found)
+    spoken = words_apart(texts).select("tkey", "entities", F.array_distinct(F.transform("word", lambda w: F.lower(w["value"]))).alias("terms"))
+    spoken = materialize(spoken, "terms")
+    given = disclosures(df, scans, spoken, text, support, generalise)
+    here = spoken.select("tkey", "entities.entity", F.explode("terms").alias("term")).select("tkey", "term", F.explode("entity").alias("entity"))
+    told = here.join(given, ["entity", "term"]).groupBy("tkey", "term").agg(F.max("share").alias("share")).groupBy("tkey").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
+    marked = words_apart(texts.select("tkey", "_text", "base").join(told, "tkey"))
+    spans = F.transform(F.filter("word", lambda w: F.map_contains_key("told", F.lower(w["value"]))), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at("told", F.lower(w["value"])).alias("share")))
+    out = materialize(marked.select("tkey", F.array_sort(spans).alias("term")), "disclosing-spans")
+    discard(found, texts, spoken, given)
+    return out
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:
