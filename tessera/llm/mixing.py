@@ -20,8 +20,9 @@ of a leaf is the last order taken: texts meet one row a leaf and aren't shuffled
 Nulls: a null level value is the name "" and gets that name's weight, or the
 default; a null text has no tokens; a null id is ordered as the word "null".
 Ties: documents of a leaf with equal ids are taken together or not at all. A
-document without tokens is taken whenever its place in the prefix is. An empty
-table gives an empty result. Columns named like the result's are replaced in it.
+document without tokens is taken whenever its place in the prefix is. Of a text
+only its words are counted, however long it is. An empty table gives an empty
+result. Columns named like the result's are replaced in it; ``mix`` keeps all.
 """
 
 from __future__ import annotations

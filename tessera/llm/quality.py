@@ -9,8 +9,9 @@ documents of the host)`` is boilerplate. A document is depleted, and rejected, i
 
 Nulls: a null text has no words and fails the base rules; a null host is the
 host with the empty name. Repeated rows get the same verdict and ties need no
-rule. An empty table gives an empty result. Columns other than the named
-ones are not read, or kept where the whole document is returned.
+rule. A text is read whole, however long, in time that grows with its length. An
+empty table gives an empty result. Columns other than the named ones are not
+read, or kept where the whole document is returned, also with clashing names.
 """
 
 from __future__ import annotations

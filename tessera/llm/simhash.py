@@ -17,8 +17,9 @@ with the square of a group.
 
 Nulls: a null text counts as empty, with fingerprint zero; a null id is kept and
 never the id of a component that has another. Ties and repeated rows: rows of
-one fingerprint are one class, whose id is the least. An empty table gives an
-empty result. Columns other than those named are not read.
+one fingerprint are one class, whose id is the least. A text of any length is
+hashed whole, its bits unpacked in blocks. An empty table gives an empty result.
+Columns other than those named are not read.
 """
 
 from __future__ import annotations
