@@ -107,6 +107,7 @@ def number(path: str = "path") -> Column:
         for n, x in {
             "width": "width", "height": "height", "n_comp": "3", "restart_interval": "interval_", "h": "sh", "v": "sv", "mcu_w": "4", "mcu_h": "2", "mcu_w_real": "4", "mcu_h_real": "2",
             "bmp_padding": "width % 4", "decoded_bytes": "128 * ((2 + 1) * 4 + 4 + 1) * 3", "warnings": "0",
+            "data_start": "2 + 4 + extra + 3 * (69 + 64 * CAST(wide AS INT)) + 19 + 33 + 183 + CASE WHEN interval_ > 0 THEN 6 ELSE 0 END + 14",
         }.items()
     )
     + " FROM form"
@@ -116,7 +117,7 @@ def header_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.col("comps")[0]
     return heads.select(
         F.col("file_index").alias("image"), "valid", "error", "width", "height", "n_comp", "restart_interval", first["h"].alias("h"), first["v"].alias("v"), "mcu_w", "mcu_h",
-        "mcu_w_real", "mcu_h_real", "bmp_padding", "decoded_bytes", "warnings",
+        "mcu_w_real", "mcu_h_real", "bmp_padding", "decoded_bytes", "warnings", "data_start",
     )
 
 
