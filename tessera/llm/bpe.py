@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 from itertools import chain
 from math import inf
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import column, map_batches, ship, texts_of
 
 #: Bounds of what a worker remembers; speed only, never results. Two caches of two generations hold CACHED bytes each at most, and
-#: PAIRS told pairs take 160 bytes each. On prose a worker grows by some 60 MB beside the vocabulary's 85.
-CACHED = 48_000_000
+#: PAIRS told pairs take 160 bytes each. On prose a worker grows by some 100 MB beside the vocabulary's 85.
+CACHED = 80_000_000
 PAIRS = 250_000
 
 #: Fixed value: the usual pattern of byte-level vocabularies.
@@ -52,6 +54,18 @@ class Vocabulary:
         self._left: dict[int, list[tuple[bytes, float]]] = {}
         self.known: dict[tuple[int, int], bool] = {}
 
+        # Tokens that end at each byte are told by one automaton, the longest first; bytes stand as characters.
+        self.automaton = ahocorasick.Automaton()
+        for piece, rank in ranks.items():
+            self.automaton.add_word(piece.decode("latin-1"), (rank, len(piece)))
+        self.automaton.make_automaton()
+
+    def endings(self, piece: bytes, begin: int) -> Iterator[tuple[int, tuple[int, int]]]:
+        """(index of the last byte, (token, its length)) of the tokens in piece that end behind ``begin`` bytes, by end and then the longest first."""
+        first = max(0, begin - self.longest)
+        found = self.automaton.iter(piece[first:].decode("latin-1"))
+        return found if not begin else ((first + at, x) for at, x in found if first + at >= begin)
+
     @classmethod
     def from_tiktoken(cls, raw: bytes) -> Vocabulary:
         return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a})
@@ -90,11 +104,14 @@ class Vocabulary:
         return known[token]
 
     def fits(self, a: int, b: int) -> bool:
-        """Whether merging the bytes of a and b gives just these two tokens: no merge across the border comes in time."""
+        """Whether merging the bytes of a and b gives just these two tokens: no merge across the border comes in time. a is -1 for no bytes."""
         if (told := self.known.get((a, b))) is not None:
             return told
         if len(self.known) > PAIRS:
             self.known.clear()
+        if a < 0:
+            self.known[a, b] = out = self.made(b)
+            return out
         left, right = self._spine(a, 1), self._spine(b, 0)
         i = j = 0
         while True:
@@ -123,43 +140,49 @@ class PrefixTable:
         self.last: list[int] = [-1]
         self.append(piece)
 
-    def _extend(self, end: int) -> None:
-        """Append the entry of the prefix that ends at ``end``."""
-        piece, last, v = self.piece, self.last, self.v
-        ranks, known = v.ranks.get, v.known.get
-        for start in range(max(0, end - v.longest), end):
-            token = ranks(piece[start:end])
-            if token is None:
+    def _grow(self, begin: int, stop: Callable[[int], bool] | None = None) -> None:
+        """Appends the entries of the prefixes longer than ``begin`` bytes, up to the one whose length stops it."""
+        last, fits = self.last, self.v.fits
+        known = self.v.known.get
+        end = begin
+        for at, (token, length) in self.v.endings(self.piece, begin):
+            if at != end:
+                if at > end:
+                    break
                 continue
-            if not start:
-                fits = v.made(token)
-            elif (fits := known((last[start], token))) is None:
-                fits = v.fits(last[start], token)
-            if fits:
+            before = last[end + 1 - length]
+            if (good := known((before, token))) is None:
+                good = fits(before, token)
+            if good:
                 last.append(token)
-                return
-        raise ValueError(f"byte {piece[end - 1]} is in no token")
+                end += 1
+                if stop and stop(end):
+                    return
+        if end < len(self.piece):
+            raise ValueError(f"byte {self.piece[end]} is in no token")
 
     def append(self, more: bytes) -> None:
         at, self.piece = len(self.piece), self.piece + more
-        for end in range(at + 1, len(self.piece) + 1):
-            self._extend(end)
+        self._grow(at)
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put new for the bytes from start to stop; returns how many entries were computed."""
         old, tail = self.last, len(self.piece) - stop
         self.piece = self.piece[:start] + new + self.piece[stop:]
         self.last = old[: start + 1]
-        same = 0
-        for end in range(start + 1, len(self.piece) + 1):
-            self._extend(end)
-            token = self.last[-1]
-            rest = len(self.piece) - end
+        same = done = 0
+
+        def settled(end: int) -> bool:
+            nonlocal same, done
+            rest, done = len(self.piece) - end, end
             # A later entry looks back at most the longest token's length.
-            same = same + 1 if rest < tail and token == old[len(old) - 1 - rest] else 0
-            if same >= self.v.longest and rest:
-                self.last += old[len(old) - rest :]
-                return end - start
+            same = same + 1 if rest < tail and self.last[-1] == old[len(old) - 1 - rest] else 0
+            return same >= self.v.longest and rest > 0
+
+        self._grow(start, settled)
+        if rest := len(self.piece) + 1 - len(self.last):
+            self.last += old[len(old) - rest :]
+            return done - start
         return len(self.piece) - start
 
     def tokens(self, end: int | None = None) -> list[int]:
@@ -180,10 +203,11 @@ class Cache:
         self.old: dict[str, tuple[int, ...]] = {}
 
     def all(self, chunks: list[str]) -> list[int]:
-        try:
-            return list(chain.from_iterable(map(self.new.__getitem__, chunks)))
-        except KeyError:
-            return list(chain.from_iterable(map(self.one, chunks)))
+        found = list(map(self.new.get, chunks))
+        if None in found:
+            one = self.one
+            found = [one(chunk) if ids is None else ids for chunk, ids in zip(chunks, found)]
+        return list(chain.from_iterable(found))
 
     def one(self, chunk: str) -> tuple[int, ...]:
         if (ids := self.new.get(chunk)) is not None:
