@@ -150,9 +150,12 @@ def texts_of_entities(scans: DataFrame, found: DataFrame) -> DataFrame:
     own = found.groupBy("tkey").agg(F.collect_list(F.struct("entity", F.xxhash64("context").alias("context"), "n_e")).alias("entities"))
     base = F.array_sort(F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in PATTERNS)))
     texts = scans.filter("size(contexts) > 0").select("tkey", "_text", base.alias("base")).dropDuplicates(["tkey"])
-    # Few bytes, but each takes long: they are dealt to as many tasks as there are for a shuffle.
-    tasks = int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(texts.join(own, "tkey").repartition(tasks, "tkey"), "entity-texts")
+    return materialize(texts.join(own, "tkey"), "entity-texts")
+
+
+def spread(texts: DataFrame) -> DataFrame:
+    """Few bytes, but each takes long: dealt to as many tasks as there are for a shuffle, which otherwise would be run together."""
+    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("tkey"))
 
 
 def words_apart(texts: DataFrame) -> DataFrame:
@@ -193,12 +196,12 @@ def disclosing_spans(df: DataFrame, scans: DataFrame, text: str = "text", suppor
     """A written table: tkey and the array of its disclosing terms' spans with their shares, all places of the term in texts that hold the entity."""
     found = entities(scans, support)
     texts = texts_of_entities(scans, found)
-    spoken = words_apart(texts).select("tkey", "entities", F.array_distinct(F.transform("word", lambda w: F.lower(w["value"]))).alias("terms"))
+    spoken = words_apart(spread(texts)).select("tkey", "entities", F.array_distinct(F.transform("word", lambda w: F.lower(w["value"]))).alias("terms"))
     spoken = materialize(spoken, "terms")
     given = disclosures(df, scans, spoken, text, support, generalise)
     here = spoken.select("tkey", "entities.entity", F.explode("terms").alias("term")).select("tkey", "term", F.explode("entity").alias("entity"))
     told = here.join(given, ["entity", "term"]).groupBy("tkey", "term").agg(F.max("share").alias("share")).groupBy("tkey").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
-    marked = words_apart(texts.select("tkey", "_text", "base").join(told, "tkey").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tkey"))
+    marked = words_apart(spread(texts.select("tkey", "_text", "base").join(told, "tkey")))
     spans = F.transform(F.filter("word", lambda w: F.map_contains_key("told", F.lower(w["value"]))), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at("told", F.lower(w["value"])).alias("share")))
     out = materialize(marked.select("tkey", F.array_sort(spans).alias("term")), "disclosing-spans")
     discard(found, texts, spoken, given)
