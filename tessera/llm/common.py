@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,11 +11,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.ship import ship as send
+
 #: Rows of an Arrow batch where the session leaves Spark's default of 10,000: whole texts are long.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
 
-_shipped: set[str] = set()
 _own_dir: list[str] = []
 
 
@@ -24,13 +24,7 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, and bound Arrow batches."""
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, BATCH_ROWS)
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    out = os.path.join(tempfile.mkdtemp(prefix="tessera"), "tessera")
-    spark.sparkContext.addPyFile(shutil.make_archive(out, "zip", root, "tessera"))
-    _shipped.add(app)
+    send(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:

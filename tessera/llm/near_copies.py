@@ -5,7 +5,7 @@ about 10 bits, and probing for that many reaches a fixed share of all pairs. So
 the links of ``simhash`` (general pigeonhole, ``DISTANCE`` bits) find the closer
 copies, and bands find the others: of BANDS bands, each the least values of ROWS
 hash functions over the set of shingles, a pair of similarity s shares one with
-probability 1 - (1 - s^ROWS)^BANDS: 0.9995 at 0.8, 0.99998 at 0.85, and under
+probability 1 - (1 - s^ROWS)^BANDS: 0.9995 at 0.8, 0.99999 at 0.85, and under
 0.01 at 0.3. Texts with a component or a band in common form a list.
 
 A short list is paired off. In a long one, the text with most texts in its lists
