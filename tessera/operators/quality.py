@@ -25,12 +25,13 @@ def outputs(df: DataFrame) -> DataFrame:
     return df.filter(F.col("path").endswith(SUFFIXES[0]) | F.col("path").endswith(SUFFIXES[1]))
 
 
-def match_references(out: DataFrame, refs: DataFrame) -> DataFrame:
+def match_references(out: DataFrame, refs: DataFrame, numbered: bool = False) -> DataFrame:
     """out_path, ref_path: for each output the reference whose name starts with its stem.
 
     The exact stem comes first, then the shortest, then the first name. Names
     and, where no name fits, their prefixes are keys, so joins are on equal
-    values; the directory is part of the name.
+    values; the directory is part of the name. Where files are numbered, a stem
+    doesn't end within a number: img3 fits img3x.png, but not img30.png.
     """
     left = out.select(F.col("path").alias("out_path"), stem(F.col("path")).alias("stem"))
     folder = F.length(F.regexp_extract("ref_path", r"^(.*/)?", 1))
@@ -40,7 +41,10 @@ def match_references(out: DataFrame, refs: DataFrame) -> DataFrame:
     exact = left.join(whole, "stem", "left")
     # Prefixes are made only for outputs that no whole name fits.
     rest = exact.filter("r is null").select("out_path", "stem")
-    prefixes = names.withColumn("n", F.explode(F.sequence(folder + 1, F.length("ref_path")))).select("ref_path", F.expr("substring(ref_path, 1, n)").alias("stem"))
+    prefixes = names.withColumn("n", F.explode(F.sequence(folder + 1, F.length("ref_path"))))
+    if numbered:
+        prefixes = prefixes.filter("not substring(ref_path, n, 2) rlike '^[0-9]{2}$'")
+    prefixes = prefixes.select("ref_path", F.expr("substring(ref_path, 1, n)").alias("stem"))
     near = prefixes.join(rest.select("stem").distinct(), "stem").groupBy("stem").agg(first.alias("r"))
     found = exact.filter("r is not null").select("out_path", "r").unionByName(rest.join(near, "stem", "left").select("out_path", "r"))
     return found.select("out_path", F.col("r.ref_path").alias("ref_path"))
@@ -177,8 +181,9 @@ def score(pairs: DataFrame, least_psnr: float = PSNR_FLOOR, least_ssim: float =
 
 def quality_table(pairs: DataFrame, with_ssim: bool = True, **floors: float) -> DataFrame:
     """The result table of scored pairs, in the layout of the CSV; the SSIM columns are left out where it isn't asked for."""
-    names = pairs.select("key", "out_path", "ref_path")
-    s = score(pairs, with_ssim=with_ssim, **floors).join(names, "key")
+    # Outputs may share a reference, so their own paths tell the pairs apart.
+    names = pairs.select(F.col("key").alias("image"), "out_path", "ref_path")
+    s = score(pairs.withColumn("key", F.col("out_path")), with_ssim=with_ssim, **floors).withColumnRenamed("key", "out_path").join(names, "out_path")
     ssim = [F.col(c).alias(n) for c, n in (("ssim_r", "SSIM-R"), ("ssim_g", "SSIM-G"), ("ssim_b", "SSIM-B"), ("ssim", "SSIM"))] if with_ssim else []
-    cols = [F.col("key").alias("image"), "corrupted", *ssim, *(F.col(c).alias(n) for c, n in (("psnr_r", "PSNR-R"), ("psnr_g", "PSNR-G"), ("psnr_b", "PSNR-B"), ("psnr", "PSNR")))]
+    cols = ["image", "corrupted", *ssim, *(F.col(c).alias(n) for c, n in (("psnr_r", "PSNR-R"), ("psnr_g", "PSNR-G"), ("psnr_b", "PSNR-B"), ("psnr", "PSNR")))]
     return s.filter("reason is null").select(*cols, F.col("ref_path").alias("reference path"), F.col("out_path").alias("output path"))

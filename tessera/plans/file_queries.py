@@ -328,7 +328,7 @@ def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = images.pictures(_pictures(spark, sf_dir))
-    matched = quality.match_references(quality.outputs(seen.select("path")), seen.select("path"))
+    matched = quality.match_references(quality.outputs(seen.select("path")), seen.select("path"), numbered=True)
     side = lambda names, ref: seen.select(*(F.col(c).alias(n) for c, n in names.items())).withColumnRenamed("_path", ref)
     out = side({"path": "_path", "width": "width", "height": "height", "rgb": "rgb"}, "out_path")
     ref = side({"path": "_path", "mode": "ref_mode", "width": "ref_width", "height": "ref_height", "rgb": "ref_rgb"}, "ref_path")

@@ -144,3 +144,23 @@ def test_stream(spark, tmp_path):
     (folder / "a.jpg").write_bytes(image())
     start(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).filter("error is null").count() == 1
+
+
+def test_references_of_numbered_files(spark):
+    names = spark.createDataFrame([(f"q/{n}",) for n in ("img3-cpu.bmp", "img3x.png", "img30.png", "img5-cpu.bmp", "img50.png")], "path string")
+    match = lambda **o: {r.out_path: r.ref_path for r in quality.match_references(quality.outputs(names), names, **o).collect()}
+    assert match(numbered=True) == {"q/img3-cpu.bmp": "q/img3x.png", "q/img5-cpu.bmp": None}
+    assert match() == {"q/img3-cpu.bmp": "q/img30.png", "q/img5-cpu.bmp": "q/img50.png"}
+
+
+def shared(spark):
+    """Two outputs of one reference, and one of another folder's reference of that name."""
+    px = np.random.default_rng(6).integers(0, 250, (16, 16, 3)).astype(np.uint8)
+    side = lambda x: (x.shape[1], x.shape[0], bytearray(x.tobytes()))
+    rows = [("a.png", f"{f}/a-{kind}.bmp", f"{f}/a.png", *side(x), *side(px)) for f, kind, x in (("d", "cpu", px + 1), ("d", "dpu", px[:8]), ("e", "cpu", px + 2))]
+    return spark.createDataFrame(rows, "key string, out_path string, ref_path string, width int, height int, rgb binary, ref_width int, ref_height int, ref_rgb binary")
+
+
+def test_outputs_that_share_a_reference(spark):
+    got = quality.quality_table(shared(spark)).collect()
+    assert sorted((r["image"], r["output path"], r["reference path"], r["PSNR"] > 45) for r in got) == [("a.png", "d/a-cpu.bmp", "d/a.png", True), ("a.png", "e/a-cpu.bmp", "e/a.png", False)]
