@@ -187,3 +187,10 @@ def quality_table(pairs: DataFrame, with_ssim: bool = True, **floors: float) ->
     ssim = [F.col(c).alias(n) for c, n in (("ssim_r", "SSIM-R"), ("ssim_g", "SSIM-G"), ("ssim_b", "SSIM-B"), ("ssim", "SSIM"))] if with_ssim else []
     cols = ["image", "corrupted", *ssim, *(F.col(c).alias(n) for c, n in (("psnr_r", "PSNR-R"), ("psnr_g", "PSNR-G"), ("psnr_b", "PSNR-B"), ("psnr", "PSNR")))]
     return s.filter("reason is null").select(*cols, F.col("ref_path").alias("reference path"), F.col("out_path").alias("output path"))
+
+
+def skips(pairs: DataFrame) -> DataFrame:
+    """out_path and why it has no scores, null where it has some; one row an output."""
+    scored = score(pairs.filter("ref_path is not null").withColumn("key", F.col("out_path")), with_ssim=False).select(F.col("key").alias("out_path"), "reason")
+    lacking = pairs.filter("ref_path is null").select("out_path", F.lit("no reference").alias("reason"))
+    return scored.unionByName(lacking)

@@ -359,9 +359,7 @@ def quality_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def score_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why outputs have no scores."""
-    pairs = _pairs(spark, sf_dir)
-    scored = quality.score(pairs.filter("ref_path is not null"), with_ssim=False).select("key", F.col("reason").alias("why"))
-    return pairs.select("out_path", "key").join(scored, "key", "left").select("out_path", F.when(F.col("key").isNull(), "no reference").otherwise(F.col("why")).alias("reason"))
+    return quality.skips(_pairs(spark, sf_dir))
 
 
 # -- classification ----------------------------------------------------------

@@ -164,3 +164,9 @@ def shared(spark):
 def test_outputs_that_share_a_reference(spark):
     got = quality.quality_table(shared(spark)).collect()
     assert sorted((r["image"], r["output path"], r["reference path"], r["PSNR"] > 45) for r in got) == [("a.png", "d/a-cpu.bmp", "d/a.png", True), ("a.png", "e/a-cpu.bmp", "e/a.png", False)]
+
+
+def test_reasons_of_outputs_that_share_a_reference(spark):
+    lone = shared(spark).limit(1).selectExpr("null key", "'f/b-cpu.bmp' out_path", "null ref_path", "width", "height", "rgb", "null ref_width", "null ref_height", "null ref_rgb")
+    got = [tuple(r) for r in quality.skips(shared(spark).unionByName(lone)).collect()]
+    assert sorted(got) == [("d/a-cpu.bmp", None), ("d/a-dpu.bmp", "size mismatch"), ("e/a-cpu.bmp", None), ("f/b-cpu.bmp", "no reference")]

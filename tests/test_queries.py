@@ -23,7 +23,7 @@ def test_entry(spark):
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", ["quality_csv"])
+@pytest.mark.parametrize("name", ["quality_csv", "score_skips"])
 def test_numbers_that_begin_with_others(spark, tmp_path, name):
     """Images 3 and 5 beside 30 to 35 and 50 to 55, whose names begin alike."""
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").filter("vec_id div 24 in (3, 5, 30, 31, 32, 33, 50, 51, 53, 54, 55)")
