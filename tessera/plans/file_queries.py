@@ -421,6 +421,6 @@ STAGES = ("view", "click", "purchase", "signup", "error")
 def plot_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a plot of stacked shares draws."""
     micro = F.round(F.col("value") * 1000000).cast("long")
-    times = T.read(spark, sf_dir, "events").filter("value is not null").groupBy("user_id").pivot("event_type", list(STAGES)).agg(F.sum(micro)).na.fill(0)
+    times = T.read(spark, sf_dir, "events").filter("value is not null").groupBy("user_id").pivot("event_type", list(STAGES)).agg(F.sum(micro)).na.fill(0, list(STAGES))
     shares = aggregate.timing_share_wide(times.select("user_id", *(F.col(s).cast("double").alias(s) for s in STAGES)), list(STAGES)).filter(F.col(STAGES[0]).isNotNull())
     return plot.bars(shares, "user_id", list(STAGES))

@@ -12,17 +12,32 @@ from tessera.sources.sink import located
 BAR, GAP, WIDTH = 24, 8, 400
 
 
+def percent(share: Column) -> Column:
+    """The text of a share above 0.1 in percent, with one decimal as C's printf rounds: by the exact value, ties to even.
+
+    Java's formatter rounds up from the shortest decimal form, so 16.25 and 11.95 (which is 11.949999...) come out otherwise.
+    """
+    value = share * 100
+    whole = F.floor(value)
+    # Above 8 a double has no bits below 2^-49, so all steps are exact.
+    tenfold = ((value - whole) * 2**49).try_cast("long") * 10
+    digit, rest = F.shiftright(tenfold, 49), tenfold.bitwiseAND(F.lit(2**49 - 1))
+    up = (rest > 2**48) | ((rest == 2**48) & (digit % 2 == 1))
+    digit = digit + up.cast("long")
+    return F.format_string("%d.%d%%", whole + F.floor(digit / 10), digit % 10)
+
+
 def bars(shares: DataFrame, run: str, stages: list[str], width: int = WIDTH) -> DataFrame:
     """run, stage, x0, x1, text: each stage's part of a bar of ``width`` pixels, with its percentage where that is over 10."""
 
     def edge(k: int) -> Column:
         total = sum((F.coalesce(F.col(s), F.lit(0.0)) for s in stages[:k]), F.lit(0.0))
-        return F.floor(total * width + 0.5).cast("int")
+        return F.floor(total * width + 0.5)
 
     share = F.coalesce(F.col("share"), F.lit(0.0))
     parts = F.array(*(F.struct(F.lit(k).alias("seq"), F.lit(s).alias("stage"), edge(k).alias("x0"), edge(k + 1).alias("x1"), F.col(s).alias("share")) for k, s in enumerate(stages)))
     out = shares.select(run, F.explode(parts).alias("p")).select(run, "p.*")
-    return out.withColumn("text", F.when(share > 0.1, F.format_string("%.1f%%", share * 100))).drop("share")
+    return out.withColumn("text", F.when(share > 0.1, percent(share))).drop("share")
 
 
 def draw(table: DataFrame, run: str, path: str, width: int = WIDTH) -> int:

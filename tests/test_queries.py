@@ -30,3 +30,12 @@ def test_numbers_that_begin_with_others(spark, tmp_path, name):
     vectors.coalesce(1).write.parquet(str(tmp_path / "written"))
     next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
     assert difference(QUERIES[name](spark, str(tmp_path)), connect(str(tmp_path)), ORACLE_SQL[name]) is None
+
+
+def test_plot_of_odd_times(spark, tmp_path):
+    """Shares that lie between two texts, a user without a number beside user 0, and times below zero that leave a sum of one."""
+    times = {8898: {"view": 83.75, "click": 16.25}, 7: {"view": 88.05, "error": 11.95}, 0: {"signup": 5.0}, None: {"purchase": 3.0, "view": 1.0}, 9: {"view": 10.0, "click": -9.999999}, 10: {"view": 1.0, "error": -1.0}}
+    rows = [(user, kind, value) for user, spent in times.items() for kind, value in spent.items()]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    assert difference(QUERIES["plot_bars"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLE_SQL["plot_bars"]) is None

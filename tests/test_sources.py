@@ -164,6 +164,14 @@ def test_plot(spark, tmp_path):
     assert images.read_any((tmp_path / "p.png").read_bytes())[1].shape == (2 * (plot.BAR + plot.GAP) + plot.GAP, 400, 3)
 
 
+def test_percentages_round_as_printf(spark):
+    """All ties of a decimal, and shares around them and far above."""
+    values = [k / 2000 for k in range(201, 2001)] + [np.nextafter(k / 2000, to) for k in range(205, 2000, 10) for to in (0, 1)] + [0.99999, 123.45125, 1e7 + 0.0003125, 2e13 / 3, 1.3e16]
+    shares = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "run int, a double")
+    got = dict(plot.bars(shares, "run", ["a"]).select("run", "text").collect())
+    assert [(v, got[k]) for k, v in enumerate(values) if got[k] != "%.1f%%" % (v * 100)] == []
+
+
 def test_command_line(spark, tmp_path):
     names = []
     for k in range(4):
